@@ -1,0 +1,6 @@
+"""Registry of the library's queries and their SQL."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
