@@ -11,26 +11,26 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .common import materialize
-from .texts import map_texts, raw_texts
+from .texts import map_texts, raw_texts, slices
 
 #: Labelled rows the list is learned from, at most; the lowest hashes of doc_id are taken.
 MAX_LABELLED = 20_000
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_distinct", "n_upper", "n_marks", "n_lines", "longest_word")
-#: Statistics the rules may test, as expressions of the counts.
+#: Statistics the rules may test, as expressions of the counts ({p}: what stands before their names).
 FEATURES = {
-    "n_words": "double(n_words)",
-    "mean_word": "word_chars / greatest(n_words, 1)",
-    "symbol_rate": "n_symbols / greatest(n_words, 1)",
-    "dup_line_share": "n_dup_lines / greatest(n_lines, 1)",
-    "repeat_share": "n_repeat_words / greatest(n_words, 1)",
-    "distinct_share": "n_distinct / greatest(n_words, 1)",
-    "upper_share": "n_upper / greatest(word_chars, 1)",
-    "mark_rate": "n_marks / greatest(n_words, 1)",
-    "line_words": "n_words / greatest(n_lines, 1)",
-    "longest_word": "double(longest_word)",
+    "n_words": "double({p}n_words)",
+    "mean_word": "{p}word_chars / greatest({p}n_words, 1)",
+    "symbol_rate": "{p}n_symbols / greatest({p}n_words, 1)",
+    "dup_line_share": "{p}n_dup_lines / greatest({p}n_lines, 1)",
+    "repeat_share": "{p}n_repeat_words / greatest({p}n_words, 1)",
+    "distinct_share": "{p}n_distinct / greatest({p}n_words, 1)",
+    "upper_share": "{p}n_upper / greatest({p}word_chars, 1)",
+    "mark_rate": "{p}n_marks / greatest({p}n_words, 1)",
+    "line_words": "{p}n_words / greatest({p}n_lines, 1)",
+    "longest_word": "double({p}longest_word)",
 }
 _SPACE, _SYMBOLS, _CAPITALS, _MARKS = b" \t\n\r\x0b\x0c", b"#*$%&|<>", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"!?"
 
@@ -76,6 +76,10 @@ def statistics(docs: DataFrame) -> DataFrame:
     return map_texts(docs, ("doc_id", "text"), _kernel, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
+def features(prefix: str = "") -> dict[str, Column]:
+    return {n: F.expr(e.format(p=prefix)) for n, e in FEATURES.items()}
+
+
 @dataclass(frozen=True)
 class Test:
     feature: str
@@ -167,14 +171,20 @@ def labelled(stats: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> t
 
     A document with several labels is rejected if one of them says so; null labels are left out."""
     said = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rows = stats.join(said, "doc_id").select(F.xxhash64("doc_id").alias("_h"), "doc_id", *(F.expr(e).alias(f"f_{n}") for n, e in FEATURES.items()), (F.col("quality") == 0).alias("_y"))
+    rows = stats.join(said, "doc_id").select(F.xxhash64("doc_id").alias("_h"), "doc_id", *(f.alias(f"f_{n}") for n, f in features().items()), (F.col("quality") == 0).alias("_y"))
     got = rows.orderBy("_h", "doc_id").limit(most).toArrow()
     x = np.array([got.column(f"f_{n}").to_numpy() for n in FEATURES], float).T.reshape(-1, len(FEATURES))
     return x, got.column("_y").to_numpy(zero_copy_only=False).astype(bool)
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+def base_failed(prefix: str = "") -> Column:
+    n = F.col(f"{prefix}n_words")
+    return (n < 50) | (100 * F.col(f"{prefix}n_repeat_words") > 50 * n)
+
+
+def _named(rules: list[Rule]) -> Column:
+    """The list over feature columns that stand as _f_<name>."""
+    return expression([tuple(Test("_f_" + t.feature, t.above, t.threshold) for t in r) for r in rules])
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -186,6 +196,27 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     each. The counts are a table in the shared folder, so texts are read once."""
     stats = materialize(statistics(docs), "quality")
     rules = learn(*labelled(stats, labels), list(FEATURES))
-    rows = stats.select("doc_id", *COUNTS, base_failed().alias("base_failed"), *(F.expr(e).alias(f"_f_{n}") for n, e in FEATURES.items()))
-    rows = rows.withColumn("kept", ~F.col("base_failed") & expression([tuple(Test("_f_" + t.feature, t.above, t.threshold) for t in r) for r in rules]))
+    rows = stats.select("doc_id", *COUNTS, base_failed().alias("base_failed"), *(f.alias(f"_f_{n}") for n, f in features().items()))
+    rows = rows.withColumn("kept", ~F.col("base_failed") & _named(rules))
     return rows.select("doc_id", *COUNTS, "base_failed", "kept")
+
+
+def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of `docs`, all columns, that `judge` keeps.
+
+    Counts are made twice, for learning and beside each row, so that no text is shuffled. Columns of
+    `docs` may have any names but ones that begin with _q_ or _f_."""
+    rules = learn(*labelled(materialize(statistics(docs), "quality"), labels), list(FEATURES))
+    schema = docs.schema
+    for c in COUNTS:
+        schema = T.StructType([*schema.fields, T.StructField(f"_q_{c}", T.LongType())])
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                counts = [a for k, a in _kernel(part).items() if k != "doc_id"]
+                yield pa.RecordBatch.from_arrays([*part.columns, *counts], [f.name for f in schema.fields])
+
+    rows = docs.mapInArrow(run, schema)
+    rows = rows.select("*", *(f.alias(f"_f_{n}") for n, f in features("_q_").items())).where(~base_failed("_q_") & _named(rules))
+    return rows.select(*docs.columns)

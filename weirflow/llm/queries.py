@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import license_scan, mixing, quality_rules, secret_scan, simhash, token_output, url_filter
+from . import decontaminate, license_scan, mixing, quality_rules, secret_scan, simhash, token_output, url_filter
 
 URL_RULES = (
     ("allow", "com/"),
@@ -47,6 +47,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex(F.get("sig", F.lit(0))), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_license_scan": op5_license_scan,
     "op6_mixing": op6_mixing,
     "op7_simhash": op7_simhash,
+    "op8_decontaminate": op8_decontaminate,
     "op9_token_output": op9_token_output,
     "op10_quality_rules": op10_quality_rules,
 }

@@ -67,16 +67,18 @@ def _kernel(k: int, n_words: int, bits: int):
             table = np.stack([table & np.uint64(0xFFFFFFFF), table >> np.uint64(32)], axis=2).reshape(len(table), -1)
         flat = pa.array(np.ascontiguousarray(table).view(np.int64).ravel())
         sizes = np.arange(len(table) + 1, dtype=np.int32) * table.shape[1]
-        return {"doc_id": batch.column("doc_id"), "sig": pa.ListArray.from_arrays(sizes, flat)}
+        whole = np.array([42 if t is None else xxhash.xxh64_intdigest(t, seed=42) for t in batch.column("text").cast(pa.binary()).to_pylist()], np.uint64)
+        return {"doc_id": batch.column("doc_id"), "text_hash": pa.array(whole.view(np.int64)), "sig": pa.ListArray.from_arrays(sizes, flat)}
 
     return run
 
 
 def signatures(docs: DataFrame, k: int = 3, bands: int = 1, bits: int = 64) -> DataFrame:
-    """(doc_id, sig): `bands` longs of `bits` (64, or 32 with an even number of bands) bits each."""
+    """(doc_id, text_hash, sig): Spark's xxhash64 of the text, and `bands` longs of `bits` (64, or 32 with
+    an even number of bands) bits each."""
     if bits not in (32, 64) or bits == 32 and bands % 2:
         raise ValueError("bits are 64, or 32 with an even number of bands")
-    return map_texts(docs, ("doc_id", "text"), _kernel(k, bands * bits // 64, bits), "doc_id long, sig array<long>")
+    return map_texts(docs, ("doc_id", "text"), _kernel(k, bands * bits // 64, bits), "doc_id long, text_hash long, sig array<long>")
 
 
 def near_values(values: DataFrame, bits: int = 64) -> DataFrame:
@@ -107,7 +109,7 @@ def distance(a: Column, b: Column) -> Column:
 
 
 def components(sigs: DataFrame, bits: int, max_distance: int) -> DataFrame:
-    """(doc_id, sig, component_id) for each row of a table (doc_id, sig).
+    """Each row of a table with doc_id and sig, and its component_id.
 
     Links are pairs of signatures that come within two bits in some band and differ in at most
     `max_distance` bits in all. component_id is the smallest doc_id reached, the row's own included. A
@@ -124,14 +126,25 @@ def components(sigs: DataFrame, bits: int, max_distance: int) -> DataFrame:
     links = alike.unionByName(close).where((F.col("a") != F.col("b")) & (distance(F.col("sa"), F.col("sb")) <= max_distance))
     roots = connected_components(links)
     owner = nodes.join(roots, nodes["first"] == roots["node"], "left").select("sig", F.coalesce("root", "first").alias("component_id"))
-    return sigs.join(owner, "sig").select("doc_id", "sig", "component_id")
+    return sigs.join(owner, "sig").select(*sigs.columns, "component_id")
 
 
 def near_duplicates(docs: DataFrame, k: int = 3, bands: int = 1, bits: int = 64, max_distance: int = 2) -> DataFrame:
     """Near-duplicate components of every row of (doc_id, text); other columns are ignored.
 
-    Returns doc_id, sig and component_id. Null and empty texts have signature zero and link like any
+    Returns doc_id, text_hash, sig and component_id. Null and empty texts have signature zero and link like any
     other; texts of fewer than k words have their whole sequence as shingle. Repeated rows each get their
     row. With one band of 64 bits and distance 2 all links are found; with several bands a link is found
     when some band comes within two bits. An empty table gives an empty result."""
     return components(materialize(signatures(docs, k, bands, bits), "signatures"), bits, max_distance)
+
+
+def firsts(docs: DataFrame, k: int = 5, bands: int = 12, bits: int = 32, max_distance: int = 64) -> DataFrame:
+    """The rows of `docs`, all columns, of one document of each component: the one of the smallest doc_id.
+
+    A document is a doc_id with a text; rows that repeat both stay together. Rows of a null doc_id stay.
+    Texts meet the decision by (doc_id, text_hash), whose values are as even as ids are."""
+    found = near_duplicates(docs, k, bands, bits, max_distance)
+    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    known = docs.where("doc_id is not null").join(stay, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left_semi")
+    return known.unionByName(docs.where("doc_id is null"))
