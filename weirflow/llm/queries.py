@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, license_scan, mixing, quality_rules, secret_scan, simhash, token_output, url_filter
+from . import decontaminate, license_scan, lm_score, mixing, quality_rules, secret_scan, simhash, substring_dedup, token_output, url_filter
 
 URL_RULES = (
     ("allow", "com/"),
@@ -34,6 +34,14 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secret_scan.listed(base, rules), 256).alias("base_sha256"), secret_scan.listed(F.col("found"), rules).alias("spans"))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.shared_passages(table(spark, sf_dir, "documents"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -62,6 +70,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_secret_scan": op2_secret_scan,
+    "op3_lm_score": op3_lm_score,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_license_scan": op5_license_scan,
     "op6_mixing": op6_mixing,
     "op7_simhash": op7_simhash,
