@@ -22,10 +22,11 @@ def read_frames(spark: SparkSession, path: str, separator: str = r"\s+") -> Data
     """Text frames as (frame, row, col, value): blocks of number rows that blank lines part.
 
     `frame` counts blank runs before a line within its file, lines being read whole per file."""
-    lines = spark.read.option("wholetext", "true").text(path)
-    frames = lines.select(F.posexplode(F.split(F.trim(F.col("value")), r"\n\s*\n")).alias("frame", "body"))
-    rows = frames.select("frame", F.posexplode(F.split(F.trim("body"), r"\n")).alias("row", "line"))
-    cells = rows.select("frame", "row", F.posexplode(F.split(F.trim("line"), separator)).alias("col", "text"))
+    bare = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    lines = spark.read.text(path, wholetext=True)
+    frames = lines.select(F.posexplode(F.split(bare("value"), r"\n\s*\n")).alias("frame", "body"))
+    rows = frames.select("frame", F.posexplode(F.split(bare("body"), r"\n")).alias("row", "line"))
+    cells = rows.select("frame", "row", F.posexplode(F.split(bare("line"), separator)).alias("col", "text"))
     return cells.select(*(F.col(c).cast("long").alias(c) for c in ("frame", "row", "col")), F.col("text").cast("double").alias("value"))
 
 
