@@ -80,4 +80,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_mixing": r"""
+    WITH d AS (SELECT doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS size,
+        md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':7') AS k FROM documents),
+    s AS (SELECT source, CAST(sum(size) AS DOUBLE) AS ss, CAST([5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS w FROM d GROUP BY source),
+    l AS (SELECT *, 2 * ss AS cap, (1.5::DOUBLE * sum(ss) OVER () - coalesce(sum(2 * ss) OVER (ORDER BY 2 * ss / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+        / sum(w) OVER (ORDER BY 2 * ss / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lam FROM s),
+    t AS (SELECT source, ss, coalesce(least((SELECT arg_min(lam, cap / w) FROM l WHERE lam * w <= cap) * w, cap), cap) AS target FROM l),
+    e AS (SELECT d.*, t.ss, t.target, CASE WHEN t.ss > 0 THEN floor(t.target / t.ss) ELSE 0 END AS whole,
+        coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+        FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+    SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(ss AS BIGINT) AS source_size, target,
+        CAST(whole * size + greatest(0, least(size, floor(target - whole * ss + 0.5) - before)) AS BIGINT) AS taken FROM e""",
+}
