@@ -1,6 +1,6 @@
 """Registered queries over the driver's tables, by subject."""
 
-from . import bins, dependence, models, plane, runs, sampled, spectra, stores, streams, units, values
+from . import bins, dependence, models, more, plane, runs, sampled, spectra, stores, streams, units, values
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
