@@ -75,6 +75,7 @@ def test_shared_passages(spark):
     near = rows[1][1].split()
     near[10] = near[90] = "edited"
     rows += [(100, " ".join(near)), (101, rows[2][1]), (102, None), (103, ""), (None, rows[4][1]), (104, "short text"), (105, "short text"), (106, "a b " * 4000), (107, "a b " * 4100)]
+    rows += [(110 + k, " ".join([*prose(rng, 60, 10**9), *["so"] * n, *prose(rng, 60, 10**9)])) for k, n in enumerate((20, 90, 70, 50))]
     table = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, owner int").repartition(5)
     got = substring_dedup.shared_passages(table).collect()
     by = {r.doc_id: r for r in got}
@@ -84,6 +85,8 @@ def test_shared_passages(spark):
         assert r.source_doc_id == 0 and abs(r.start_word - 70) <= 1 and abs(r.end_word - 130) <= 1 and r.n_same >= 59
     assert by[100].source_doc_id == 1 and by[100].end_word - by[100].start_word == 150
     assert (by[101].source_doc_id, by[101].end_word) == (2, 150)
+    assert by[107].source_doc_id == 106 and by[107].end_word - by[107].start_word == 8000
+    assert {i: (by[i].source_doc_id, by[i].end_word - by[i].start_word) for i in (112, 113)} == {112: (111, 70), 113: (111, 50)} and 111 not in by
     assert not {102, 103, 104, 105, None} & set(by)
     assert substring_dedup.shared_passages(table.limit(0)).count() == 0
 

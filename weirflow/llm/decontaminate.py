@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .texts import FOLD, raw_texts, slices
+from .texts import FOLD, raw_texts, slices, small_batches
 
 #: Fixed seeds of 12 words of which 8 count.
 MASKS = ("111011001011", "110110101101", "101110011101", "111100110011")
@@ -143,7 +143,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, overlap: Overlap = Overl
     fewer) of which `overlap.same` are equal. Items under `overlap.item` words say nothing and are not
     searched for. Null and empty texts overlap nothing; repeated rows are each reported; an empty
     benchmark gives no rows. Narrow: only the benchmark moves, block by block."""
-    spark, out = docs.sparkSession, None
+    spark, out = small_batches(docs).sparkSession, None
     schema = "doc_id long, item_id long, doc_start long, item_start long, n_words long, n_same long"
     for index in blocks(benchmark, overlap):
         shared = spark.sparkContext.broadcast(index)
@@ -163,6 +163,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, overlap: Overlap = Overl
 
 def clean(docs: DataFrame, benchmark: DataFrame, overlap: Overlap = Overlap()) -> DataFrame:
     """The rows of `docs`, all columns, that overlap no item. Narrow."""
+    small_batches(docs)
     for index in blocks(benchmark, overlap):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 

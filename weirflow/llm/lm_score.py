@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import materialize
-from .texts import FOLD, raw_texts, slices
+from .texts import FOLD, raw_texts, slices, small_batches
 
 #: The end token; no word can be white space.
 END = b"\n"
@@ -159,7 +159,7 @@ def score(docs: DataFrame, head_size: int = HEAD, shape: Shape = Shape(), folds:
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigram, log10) and
     score (the model, log10). Null and empty texts are the end token alone. With no training rows both
     models are uniform over what they know: base scores are 0. Repeated rows each get their row."""
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     train = docs.where(~held_out(F.col("doc_id"), folds, fold))
     counts = token_counts(train)
     total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()

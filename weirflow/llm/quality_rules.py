@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .common import materialize
-from .texts import map_texts, raw_texts, slices
+from .texts import map_texts, raw_texts, slices, small_batches
 
 #: Labelled rows the list is learned from, at most; the lowest hashes of doc_id are taken.
 MAX_LABELLED = 20_000
@@ -217,6 +217,6 @@ def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 counts = [a for k, a in _kernel(part).items() if k != "doc_id"]
                 yield pa.RecordBatch.from_arrays([*part.columns, *counts], [f.name for f in schema.fields])
 
-    rows = docs.mapInArrow(run, schema)
+    rows = small_batches(docs).mapInArrow(run, schema)
     rows = rows.select("*", *(f.alias(f"_f_{n}") for n, f in features("_q_").items())).where(~base_failed("_q_") & _named(rules))
     return rows.select(*docs.columns)

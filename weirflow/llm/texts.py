@@ -13,6 +13,17 @@ FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwx
 #: Bytes of a batch's texts up to which a kernel gets them at once.
 SLICE_BYTES = 4 << 20
 
+#: Bytes of an Arrow batch, both ways; Spark's own bound of 64 MB is in force twice for each task, off the heap.
+BATCH_BYTES = "4m"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Bound Arrow batches for the session, unless it has set a bound of its own."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, None) in (None, "67108864b"):
+        conf.set(key, BATCH_BYTES)
+    return df
+
 
 def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about SLICE_BYTES of text each, so working memory doesn't grow with the batch."""
@@ -40,4 +51,4 @@ def map_texts(docs: DataFrame, columns: Sequence[str], kernel: Callable[[pa.Reco
             for part in slices(batch):
                 yield pa.RecordBatch.from_pydict(kernel(part))
 
-    return docs.select(*columns).mapInArrow(run, schema)
+    return small_batches(docs).select(*columns).mapInArrow(run, schema)

@@ -6,9 +6,9 @@ indexes let a reader skip to single documents; ids are dictionary- or delta-enco
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import zlib
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,11 +16,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import shared_path
-from .texts import raw_texts, slices
+from .texts import raw_texts, slices, small_batches
 
 SCHEMA = "doc_id long, part int, part_start long, n_tokens long, ids array<int>"
 #: Words after which a worker's cache begins anew.
-CACHE_WORDS = 1 << 20
+CACHE_WORDS = 1 << 19
 
 
 class WordCache:
@@ -32,19 +32,27 @@ class WordCache:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.encoder = Tokenizer.from_file(path)
+        self.encoder, self.index = Tokenizer.from_file(path), {}
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.flat, self.begin = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        """Begin anew with the words met more than once since the last time."""
+        kept = [w for w, often in zip(self.index, self.met > 1, strict=True) if often] if self.index else []
+        ids = [self.flat[self.begin[self.index[w]] : self.begin[self.index[w] + 1]] for w in kept]
+        if len(kept) > CACHE_WORDS // 2:
+            kept, ids = [], []
+        self.index: dict[bytes, int] = {w: k for k, w in enumerate(kept)}
+        self.flat = np.concatenate([np.zeros(0, np.int32), *ids])
+        self.begin = np.concatenate([[0], np.cumsum([len(i) for i in ids], dtype=np.int64)])
+        self.met = np.zeros(len(kept), np.int64)
 
     def learn(self, words: set[bytes]) -> None:
-        new = sorted(words)
+        new = list(words)
         got = [e.ids for e in self.encoder.encode_batch([w.decode() for w in new], add_special_tokens=False)]
         self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
-        self.flat = np.concatenate([self.flat, *(np.array(g, np.int32) for g in got)])
-        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum([len(g) for g in got], dtype=np.int64)])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(got), np.int32)])
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(np.fromiter(map(len, got), np.int64))])
+        self.met = np.concatenate([self.met, np.zeros(len(new), np.int64)])
 
     def encode(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, `end` after each, and the number of ids of each."""
@@ -53,7 +61,8 @@ class WordCache:
             self.clear()
         if unseen := set().union(*split).difference(self.index):
             self.learn(unseen)
-        words = np.fromiter((self.index[w] for s in split for w in s), np.int64)
+        words = np.fromiter(map(self.index.__getitem__, chain.from_iterable(split)), np.int64)
+        self.met += np.bincount(words, minlength=len(self.met))
         sizes = self.begin[words + 1] - self.begin[words]
         last = np.cumsum(np.array([len(s) for s in split], np.int64))
         per_text = np.diff(np.concatenate([[0], np.concatenate([[0], np.cumsum(sizes)])[last]]))
@@ -99,7 +108,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = 2, encoding: st
     first; rows with one doc_id are ordered by text. Each file row has its place among its file's ids."""
     if encoding not in ("dictionary", "delta"):
         raise ValueError("encoding is dictionary or delta")
-    rows = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = small_batches(docs).select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     kind = {"parquet.enable.dictionary": "true"} if encoding == "dictionary" else {"parquet.enable.dictionary": "false", "parquet.writer.version": "v2"}
     sizes = {"parquet.block.size": row_group_bytes, "parquet.page.size": page_bytes, "parquet.page.row.count.limit": page_rows, "compression": "zstd"}
     rows.mapInArrow(_encode(tokenizer, end), SCHEMA).write.options(**kind, **sizes).parquet(path)
@@ -131,7 +140,7 @@ def _digest(batches):
 def digests(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files' ids."""
     tokens = read(spark, path)
-    rows = tokens.mapInArrow(_digest, "doc_id long, part int, part_start long, n_tokens long, ids_crc32 long")
+    rows = small_batches(tokens).mapInArrow(_digest, "doc_id long, part int, part_start long, n_tokens long, ids_crc32 long")
     return rows.join(starts(tokens), "part").select("doc_id", (F.col("before") + F.col("part_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
