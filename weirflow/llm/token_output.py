@@ -48,7 +48,7 @@ class WordCache:
 
     def learn(self, words: set[bytes]) -> None:
         new = list(words)
-        got = [e.ids for e in self.encoder.encode_batch([w.decode() for w in new], add_special_tokens=False)]
+        got = [e.ids for e in self.encoder.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
         self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
         self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(got), np.int32)])
         self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(np.fromiter(map(len, got), np.int64))])
