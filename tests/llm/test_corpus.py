@@ -91,6 +91,20 @@ def test_shared_passages(spark):
     assert substring_dedup.shared_passages(table.limit(0)).count() == 0
 
 
+def test_passages_whose_pieces_are_quoted_before(spark):
+    """Short quotes in earlier documents own every seed of a passage; its two holders still meet."""
+    rng, rows, want = random.Random(12), [], set()
+    for n in range(30):
+        words, shared = 40 + n, prose(rng, 40 + n, 10**9)
+        for k, start in enumerate(range(0, words, 10)):
+            rows.append((1000 * n + k, " ".join([*prose(rng, 50, 10**9), *shared[start : start + 20], *prose(rng, 50, 10**9)])))
+        for k in (500, 501):
+            rows.append((1000 * n + k, " ".join([*prose(rng, 60 + k, 10**9), *shared, *prose(rng, 60, 10**9)])))
+        want.add((1000 * n + 501, 1000 * n + 500, 561, 561 + words, 560, 560 + words, words))
+    got = substring_dedup.shared_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
 def test_chaining_takes_the_best_order():
     """Against trying every ordered subset."""
     p, rng = substring_dedup.Passage(), random.Random(9)
