@@ -4,6 +4,7 @@ import math
 import random
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -147,6 +148,24 @@ def test_overlaps(spark, docs):
     assert decontaminate.contaminated(table, bench.limit(0)).count() == 0 and decontaminate.clean(table.limit(0), bench).count() == 0
 
 
+def test_overlaps_find_every_pattern():
+    """All substitutions that leave 0.8 of an item's words, or of a stretch of 13 to 16 words, and some of longer ones."""
+    rng = random.Random(13)
+    item, around = prose(rng, 60, 10**9), prose(rng, 20, 10**9)
+    for n in range(5, 41):
+        may = n // 5
+        some = (sorted(rng.sample(range(n), may)) for _ in range(300))
+        patterns = list(combinations(range(n), may)) if n <= 16 else [*some, range(3, n, 4)[:may], range(4, n, 5)[:may]]
+        for words, first in ((n, 0), (60, 11)) if n >= 13 else ((n, 0),):
+            index = decontaminate.Index([(7, " ".join(item[:words]).encode())], decontaminate.Overlap())
+            for pattern in patterns:
+                text = item[first : first + n]
+                for k in pattern:
+                    text[k] = "other"
+                got = list(index.overlaps(" ".join([*around, *text, *around]).encode()))
+                assert got == [(7, 20, first, n, n - may)] or words > n and len(got) == 1 and got[0][3] >= n, (n, pattern)
+
+
 def test_overlaps_find_every_copy(spark, docs):
     """Every benchmark item that stands in a document word for word, by plain search."""
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")

@@ -11,6 +11,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -18,20 +19,25 @@ from pyspark.sql import DataFrame, functions as F
 
 from .texts import FOLD, raw_texts, slices, small_batches
 
-#: Fixed seeds of 12 words of which 8 count.
-MASKS = ("111011001011", "110110101101", "101110011101", "111100110011")
-SPAN = len(MASKS[0])
+#: Seeds of which 6 words count. Every stretch of 13 words or more with 0.8 equal has one of them all equal.
+#: They were found by cover of all 519 patterns of which no shorter part is such a stretch; these have 13,
+#: 15, 20 or 25 words, as a stretch of 26 or more can be cut into two of which one has 0.8 equal.
+MASKS = ("1101111", "11101000011", "1111011")
+#: Words that count in a short item's seed, at least, if the item has as many that must be equal.
+SHORT_WEIGHT = 4
 #: Text bytes of a benchmark block; a block is what the driver and each task hold at once.
 BLOCK_BYTES = 8 << 20
 _BITS = 22
 _WORDS = bytes(FOLD[b] if chr(b).isalnum() or b > 0x7F else 0x20 for b in range(256))
 #: Fixed odd multipliers, one for each place of a window.
-_TIMES = np.array([pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) for k in range(SPAN)], np.uint64)
+_TIMES = np.array([pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) for k in range(256)], np.uint64)
 
 
 @dataclass(frozen=True)
 class Overlap:
-    """Least words of an overlap (or the whole item if shorter), least equal share, least words of an item."""
+    """Least words of an overlap (or the whole item if shorter), least equal share, least words of an item.
+
+    The seeds find all overlaps for `words` from 13 to 256 and `same` of 0.8 or more."""
 
     words: int = 13
     same: float = 0.8
@@ -57,13 +63,27 @@ def window_hashes(ids: np.ndarray, mask: str, salt: int) -> np.ndarray:
         return out * np.uint64(0xBF58476D1CE4E5B9)
 
 
+def short_masks(n: int, same: float) -> list[str]:
+    """Masks of n words of which one is all equal whenever the share `same` of n words is.
+
+    The places are cut into groups, and each mask leaves out as many groups as words may differ."""
+    may = int(n * (1 - same) + 1e-9)
+    for groups in range(may + 1, n + 1):
+        parts = np.array_split(np.arange(n), groups)
+        if groups == n or n - sum(sorted(map(len, parts))[groups - may :]) >= SHORT_WEIGHT:
+            break
+    return ["".join("0" if any(k in parts[g] for g in out) else "1" for k in range(n)) for out in combinations(range(groups), may)]
+
+
 class Index:
     """Seed hashes of a block of items, with a bitmap before the sorted table."""
 
     def __init__(self, items: list[tuple[int, bytes]], overlap: Overlap):
         self.overlap, self.keys, self.items = overlap, [], []
-        seeds: list[tuple[np.ndarray, int, int]] = []
-        short: set[int] = set()
+        seeds: list[tuple[np.ndarray, int]] = []
+        #: an item under `words` words must be there as a whole and has masks of its own length
+        self.masks = [(m, s) for s, m in enumerate(MASKS)]
+        short: dict[int, list[tuple[str, int]]] = {}
         for key, raw in items:
             ids = word_ids(raw)
             if len(ids) < overlap.item:
@@ -71,16 +91,16 @@ class Index:
             t = len(self.items)
             self.keys.append(key)
             self.items.append(ids)
-            if len(ids) < SPAN:
-                short.add(len(ids))
-                seeds.append((window_hashes(ids, "1" * len(ids), len(ids)), t, -1))
-            else:
-                seeds += [(window_hashes(ids, m, SPAN + s), t, s) for s, m in enumerate(MASKS)]
-        #: an item shorter than the masks is one contiguous seed of its own length
-        self.masks = [(m, SPAN + s) for s, m in enumerate(MASKS)] + [("1" * n, n) for n in sorted(short)]
-        flat = np.concatenate([h for h, _, _ in seeds]) if seeds else np.zeros(0, np.uint64)
-        item = np.concatenate([np.full(len(h), t) for h, t, _ in seeds]) if seeds else np.zeros(0, np.int64)
-        at = np.concatenate([np.arange(len(h)) for h, _, _ in seeds]) if seeds else np.zeros(0, np.int64)
+            masks, n = self.masks[: len(MASKS)], len(ids)
+            if n < overlap.words:
+                if n not in short:
+                    short[n] = [(m, len(self.masks) + s) for s, m in enumerate(short_masks(n, overlap.same))]
+                    self.masks += short[n]
+                masks = short[n]
+            seeds += [(window_hashes(ids, m, salt), t) for m, salt in masks]
+        flat = np.concatenate([h for h, _ in seeds]) if seeds else np.zeros(0, np.uint64)
+        item = np.concatenate([np.full(len(h), t) for h, t in seeds]) if seeds else np.zeros(0, np.int64)
+        at = np.concatenate([np.arange(len(h)) for h, _ in seeds]) if seeds else np.zeros(0, np.int64)
         order = np.argsort(flat, kind="stable")
         self.hashes, self.item, self.at = flat[order], item[order], at[order]
         self.bitmap = np.zeros(1 << _BITS, bool)
