@@ -106,6 +106,20 @@ def test_passages_whose_pieces_are_quoted_before(spark):
     assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
+def test_passages_that_stand_twice(spark):
+    """Both copies in a document are found, though no 40 words in a row are equal."""
+    rng = random.Random(14)
+    shared = prose(rng, 62, 10**9)
+    copies = [list(shared), list(shared)]
+    for n, copy in enumerate(copies):
+        for k in (20, 41):
+            copy[k] = f"edit{n}"
+    rows = [(1, [*prose(rng, 90, 10**9), *shared, *prose(rng, 90, 10**9)]), (2, [*prose(rng, 80, 10**9), *copies[0], *prose(rng, 80, 10**9), *copies[1]])]
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = sorted(tuple(r) for r in substring_dedup.shared_passages(table).collect())
+    assert got == [(2, 1, 80, 142, 90, 152, 60), (2, 1, 222, 284, 90, 152, 60)]
+
+
 def test_chaining_takes_the_best_order():
     """Against trying every ordered subset."""
     p, rng = substring_dedup.Passage(), random.Random(9)
