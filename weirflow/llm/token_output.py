@@ -6,9 +6,12 @@ indexes let a reader skip to single documents; ids are dictionary- or delta-enco
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
+from collections import defaultdict
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,51 +26,132 @@ SCHEMA = "doc_id long, part int, part_start long, n_tokens long, ids array<int>"
 CACHE_WORDS = 1 << 19
 
 
+_PRINTABLE = re.compile(rb"[!-~]+").fullmatch
+_LETTERS, _NUMBERS = r"\p{L}", r"\p{N}"
+
+
+def word_pattern(tokenizer: dict) -> tuple[re.Pattern, bool] | None:
+    """How a tokenizer's file parts an ASCII word, and whether it lowers it first; None where words can't be
+    encoded apart.
+
+    They can if all the normalizer does is NFC, white space to one space and lower case, if the
+    pre-tokenizer keeps matches of a pattern that excludes white space, byte by byte, and if special tokens
+    are plain strings without white space."""
+    normalizer, pre = tokenizer.get("normalizer") or {}, tokenizer.get("pre_tokenizer") or {}
+    steps = normalizer.get("normalizers", [normalizer] if normalizer else [])
+    for step in steps:
+        space = step["type"] == "Replace" and step["pattern"] == {"Regex": r"\s+"} and step["content"] == " "
+        if not space and step["type"] not in ("NFC", "Lowercase"):
+            return None
+    parts = pre.get("pretokenizers", [])
+    if [x["type"] for x in parts] != ["Split", "ByteLevel"] or tokenizer["model"]["type"] != "BPE" or tokenizer["model"].get("dropout"):
+        return None
+    split, level = parts
+    if split["behavior"] != "Removed" or not split["invert"] or level["add_prefix_space"] or level["use_regex"]:
+        return None
+    for added in tokenizer["added_tokens"]:
+        if added["single_word"] or added["lstrip"] or added["rstrip"] or added["normalized"] or added["content"].split() != [added["content"]]:
+            return None
+    source = split["pattern"].get("Regex", "").replace(_LETTERS, "A-Za-z").replace(_NUMBERS, "0-9")
+    branches = source.split("|")
+    if not all(re.fullmatch(r"'[a-z]+|\[A-Za-z\]\+|\[0-9\]\+?|\[\^\\sA-Za-z0-9\]\+", x) for x in branches):
+        return None
+    return re.compile(source.encode()), any(step["type"] == "Lowercase" for step in steps)
+
+
+class _Pieces(dict):
+    """Ids of the pieces that a pre-tokenizer leaves, made as they are met."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, piece: bytes) -> tuple[int, ...]:
+        ids = self[piece] = tuple([t.id for t in self.model.tokenize(piece.decode())])
+        return ids
+
+
+def gathered(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches of `flat` that begin and have the sizes given, one after another."""
+    first = np.repeat(begin - (np.cumsum(size) - size), size)
+    return flat[first + np.arange(len(first))]
+
+
 class WordCache:
-    """Token ids of the words of a tokenizer that never joins across ASCII white space.
+    """Token ids of texts, by word where the tokenizer never joins across ASCII white space.
 
-    Encoding a text word by word then gives the ids of the whole text; each distinct word is encoded
-    once and ids are gathered by array indexing."""
+    Encoding a text word by word then gives the ids of the whole text. Each distinct word is encoded once,
+    an ASCII word through the distinct pieces that the pre-tokenizer leaves of it, and ids are gathered by
+    array indexing. With any other tokenizer whole texts are encoded."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.encoder, self.index = Tokenizer.from_file(path), {}
+        self.encoder = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            described = json.load(file)
+        self.by_word = word_pattern(described)
+        special = [re.escape(x["content"].encode()) for x in described["added_tokens"]]
+        self.special = re.compile(b"|".join(special) or b"(?!)").search
+        self.pieces = _Pieces(self.encoder.model)
+        self.index: defaultdict[bytes, int] = defaultdict()
+        self.flat, self.begin, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.clear()
 
     def clear(self) -> None:
         """Begin anew with the words met more than once since the last time."""
         kept = [w for w, often in zip(self.index, self.met > 1, strict=True) if often] if self.index else []
-        ids = [self.flat[self.begin[self.index[w]] : self.begin[self.index[w] + 1]] for w in kept]
         if len(kept) > CACHE_WORDS // 2:
-            kept, ids = [], []
-        self.index: dict[bytes, int] = {w: k for k, w in enumerate(kept)}
-        self.flat = np.concatenate([np.zeros(0, np.int32), *ids])
-        self.begin = np.concatenate([[0], np.cumsum([len(i) for i in ids], dtype=np.int64)])
+            kept = []
+        at = np.array([self.index[w] for w in kept], np.int64)
+        # a word that is not there yet gets the next number
+        self.index = defaultdict(count(len(kept)).__next__, zip(kept, range(len(kept)), strict=True))
+        self.size = self.size[at]
+        self.flat = gathered(self.flat, self.begin[at], self.size)
+        self.begin = np.cumsum(self.size) - self.size
         self.met = np.zeros(len(kept), np.int64)
-
-    def learn(self, words: set[bytes]) -> None:
-        new = list(words)
-        got = [e.ids for e in self.encoder.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
-        self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(got), np.int32)])
-        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(np.fromiter(map(len, got), np.int64))])
+        self.pieces.clear()
+
+    def learn(self, new: list[bytes]) -> None:
+        """Encode the words that were last numbered."""
+        (pattern, lower), slow, flat, ends = self.by_word, [], [], []
+        split, pieces, special = pattern.findall, self.pieces, self.special
+        for n, w in enumerate(new):
+            if _PRINTABLE(w) and not special(w):
+                for piece in split(w.lower() if lower else w):
+                    flat += pieces[piece]
+            else:
+                slow.append(n)
+            ends.append(len(flat))
+        size = np.diff(np.array([0, *ends], np.int64))
+        begin = np.array(ends, np.int64) - size
+        if slow:
+            got = [e.ids for e in self.encoder.encode_batch_fast([new[n].decode() for n in slow], add_special_tokens=False)]
+            size[slow] = np.fromiter(map(len, got), np.int64)
+            begin[slow] = len(flat) + np.cumsum(size[slow]) - size[slow]
+            flat += chain.from_iterable(got)
+        self.begin = np.concatenate([self.begin, len(self.flat) + begin])
+        self.size = np.concatenate([self.size, size])
+        self.flat = np.concatenate([self.flat, np.array(flat, np.int32)])
         self.met = np.concatenate([self.met, np.zeros(len(new), np.int64)])
 
     def encode(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, `end` after each, and the number of ids of each."""
+        if self.by_word is None:
+            got = [[*e.ids, end] for e in self.encoder.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(got), np.int32), np.array([len(g) for g in got], np.int64)
         split = [t.split() for t in texts]
         if len(self.index) > CACHE_WORDS:
             self.clear()
-        if unseen := set().union(*split).difference(self.index):
-            self.learn(unseen)
+        before = len(self.index)
         words = np.fromiter(map(self.index.__getitem__, chain.from_iterable(split)), np.int64)
+        if len(self.index) > before:
+            self.learn(list(islice(reversed(self.index), len(self.index) - before))[::-1])
         self.met += np.bincount(words, minlength=len(self.met))
-        sizes = self.begin[words + 1] - self.begin[words]
+        sizes = self.size[words]
         last = np.cumsum(np.array([len(s) for s in split], np.int64))
         per_text = np.diff(np.concatenate([[0], np.concatenate([[0], np.cumsum(sizes)])[last]]))
-        from_ = np.repeat(self.begin[words] - (np.cumsum(sizes) - sizes), sizes)
-        ids = self.flat[from_ + np.arange(len(from_))]
+        ids = gathered(self.flat, self.begin[words], sizes)
         return np.insert(ids, np.cumsum(per_text), end).astype(np.int32), per_text + 1
 
 
