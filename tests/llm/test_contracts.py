@@ -157,7 +157,7 @@ def test_simhash(odd, docs):
     got = {r.doc_id: r for r in simhash.near_duplicates(rows).collect()}
     src = sorted((r.doc_id, r.text) for r in rows.collect())
     prints = [brute.fingerprint(t) for _, t in src]
-    assert [got[i].sig[0] & (1 << 64) - 1 for i, _ in src] == prints
+    assert [got[i].fingerprint & (1 << 64) - 1 for i, _ in src] == prints
     want = brute.components([i for i, _ in src], prints)
     assert {i: got[i].component_id for i, _ in src} == want
     assert simhash.near_duplicates(odd).count() == len(ODD)
@@ -169,11 +169,20 @@ def test_ball_hashing_finds_every_link(spark):
     base = [rng.getrandbits(64) for _ in range(30)]
     prints = sorted({b ^ sum(1 << x for x in rng.sample(range(64), rng.randrange(4))) for b in base for _ in range(8)} | {0, 1, 3, 1 << 63, (1 << 64) - 1})
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
-    sigs = spark.createDataFrame([(i, [p]) for i, p in enumerate(signed)], "doc_id long, sig array<long>")
-    got = {r.doc_id: r.component_id for r in simhash.components(sigs, 64, 2).collect()}
+    sigs = spark.createDataFrame(list(enumerate(signed)), "doc_id long, fingerprint long")
+    got = {r.doc_id: r.component_id for r in simhash.components(sigs).collect()}
     assert got == brute.components(list(range(len(prints))), prints)
 
 
+def test_one_id_with_two_fingerprints(spark):
+    """Rows of one doc_id with unlike texts are not linked by their id; a text's own rows are."""
+    a, b = "alpha beta gamma delta " * 20, " ".join(f"w{i}" for i in range(90))
+    rows = [(5, a), (5, b), (2, a.upper()), (9, b), (None, b), (None, "else " + b)]
+    got = sorted((str(r.doc_id), r.fingerprint, r.component_id) for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    signed = lambda t: (p := brute.fingerprint(t)) - (1 << 64 if p >> 63 else 0)
+    assert got == sorted([("5", signed(a), 2), ("5", signed(b), 5), ("2", signed(a), 2), ("9", signed(b), 5), ("None", signed(b), 5), ("None", signed("else " + b), None)])
+
+
 def test_tokens(spark, odd, docs, tmp_path):
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
     plain = Tokenizer.from_file(tokenizer)

@@ -189,21 +189,70 @@ def test_overlaps_find_every_copy(spark, docs):
     assert want and want <= got
 
 
+def jaccard(a, b, k=5):
+    x, y = ({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} for w in (a, b))
+    return len(x & y) / len(x | y)
+
+
 def test_near_copies_of_similarity(spark):
-    """Of pairs above 0.85 nearly all are joined, of pairs under 0.5 none; one of each group stays."""
-    rng, rows = random.Random(8), []
-    for i in range(80):
+    """Pairs from 0.70 to 0.95, each with words of its own: none below 0.8 is joined, nearly all others are."""
+    rng, rows, want = random.Random(8), [], {}
+    for i in range(240):
         own = prose(rng, 300, 10**9)
-        near, far = list(own), list(own)
-        for k in rng.sample(range(300), 4):
-            near[k] = "edit"
-        for k in rng.sample(range(300), 60):
-            far[k] = "edit"
-        rows += [(3 * i, " ".join(own)), (3 * i + 1, " ".join(near)), (3 * i + 2, " ".join(far))]
-    table = spark.createDataFrame([(*r, "x") for r in [*rows, (None, rows[0][1])]], "doc_id long, text string, component_id string")
-    left = {r.doc_id for r in simhash.firsts(table).collect()}
-    assert {3 * i for i in range(80)} | {3 * i + 2 for i in range(80)} | {None} <= left
-    assert len(left & {3 * i + 1 for i in range(80)}) <= 4
+        near = list(own)
+        for k in rng.sample(range(300), 3 + i % 9):
+            near[k] = f"edit{k}"
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(near))]
+        want[2 * i] = jaccard(own, near)
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    joined = {r.component_id for r in simhash.similar_texts(table).where("doc_id != component_id").collect()}
+    assert all(want[i] >= 0.8 for i in joined)
+    edge, easy = ({i for i, s in want.items() if low <= s < high} for low, high in ((0.8, 0.85), (0.85, 1)))
+    assert len(edge) > 40 and len(joined & edge) >= 0.9 * len(edge) and len(joined & easy) >= 0.98 * len(easy)
+
+
+def test_groups_with_a_far_foremost_text(spark):
+    """Copies of one base, each with edits of its own, are unlike one another; so are templates that
+    hold two unlike halves. Groups are those of plain links, but for bands that miss."""
+    rng, rows = random.Random(21), []
+    for g in range(6):
+        base = prose(rng, 200, 10**9)
+        for n in range(30):
+            text = list(base)
+            for k in rng.sample(range(200), 1 + n % 5):
+                text[k] = f"e{rng.randrange(10**9)}"
+            rows.append((len(rows), text))
+    for g in range(10):
+        template, rest = prose(rng, 170, 10**9), [prose(rng, 30, 10**9) for _ in range(4)]
+        rows += [(len(rows) + n, [*template, *r, "x" if n % 2 else "y"]) for n, r in enumerate(r for r in rest for _ in range(2))]
+    root = {i: i for i, _ in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, x in rows:
+        for j, y in rows[:i]:
+            if jaccard(x, y) >= 0.8:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string").repartition(6)
+    for near in (simhash.Near(), simhash.Near(hubs=2)):
+        got = {r.doc_id: r.component_id for r in simhash.similar_texts(table, near).collect()}
+        same = sum(got[i] == find(i) for i, _ in rows)
+        assert same >= 0.97 * len(rows), same
+
+
+def test_one_of_each_group_stays(spark):
+    rng = random.Random(5)
+    a, b = prose(rng, 80, 10**9), prose(rng, 90, 10**9)
+    near = [*a[:40], "new", *a[41:]]
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (2, " ".join(near)), (9, " ".join(b).upper()), (9, None), (10, ""), (11, " \n"), (None, " ".join(a)), (None, None), (12, "one two"), (12, "one two"), (13, "word " * 4000), (14, "word " * 5000)]
+    table = spark.createDataFrame([(*r, n, n, n, n) for n, r in enumerate(rows)], "doc_id long, text string, _id int, _hash int, node int, sig int")
+    got = sorted(tuple(r)[2] for r in simhash.firsts(table).collect())
+    assert got == [1, 2, 4, 7, 8, 9, 10, 11]
+    assert simhash.firsts(table).columns == table.columns and simhash.firsts(table.limit(0)).count() == 0
 
 
 def test_kept_rows(spark, docs):

@@ -48,6 +48,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have, whatever the case of its own."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in (f"_{name}{k or ''}" for k in range(len(taken) + 1)) if n not in taken)
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete the files of a table made by `materialize` that nothing reads any more."""
     jvm = df.sparkSession._jvm
