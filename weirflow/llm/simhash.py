@@ -260,6 +260,22 @@ class _Verifier:
         return pairs.select("a", "b", "set_a", "set_b", both.alias("both")).where(F.col("both") >= near.similarity * union - 1e-9).select("a", "b")
 
 
+def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends have different labels, and these as root_a and root_b."""
+    for end in ("a", "b"):
+        pairs = pairs.join(labels.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end)
+    return pairs.where("root_a != root_b")
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (node, root) of all texts after links (a, b) joined some. Only groups that grow are gone through."""
+    links = materialize(apart(links, labels).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct(), "links")
+    if links.isEmpty():
+        return labels
+    roots = connected_components(links).select(F.col("node").alias("root"), F.col("root").alias("to"))
+    return materialize(labels.join(roots, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "labels")
+
+
 def similar_texts(docs: DataFrame, near: Near = Near()) -> DataFrame:
     """Near-duplicate groups of every row of (doc_id, text); other columns are ignored.
 
@@ -268,8 +284,8 @@ def similar_texts(docs: DataFrame, near: Near = Near()) -> DataFrame:
     `near.similarity` or more, among those that come within two bits in one of the bands; groups are what
     links connect. In a band, the texts of a value are compared with the most popular one of them (whose values are
     shared most in all bands), and that one with those of the values within two bits. Where a band's meeting
-    leaves several groups, one text of each is compared with those of `near.hubs` others, and with twice as many
-    from round to round until all met: a text that is far from the most popular one still meets the others.
+    leaves several groups, one text of each is compared with those of `near.hubs` others, and with four times as
+    many from round to round until all met: a text that is far from the most popular one still meets the others.
     Texts without a word are alike. Rows of a null doc_id have a null component, others of the same
     text don't see them. Repeated rows each get their row; an empty table gives an empty result."""
     sigs = materialize(map_texts(docs, ("doc_id", "text"), _bands_kernel(near), "doc_id long, node long, sig array<long>"), "bands")
@@ -282,38 +298,44 @@ def similar_texts(docs: DataFrame, near: Near = Near()) -> DataFrame:
     single = values.where("n = 1")
     members = materialize(spread.join(values.where("n > 1").select("band", "value", "n"), ["band", "value"]), "members")
     popular = members.groupBy("node").agg(F.sum(F.col("n") - 1).alias("pop"))
-    tops = members.join(popular, "node").groupBy("band", "value").agg(F.max(F.struct("pop", "node"))["node"].alias("node"))
-    tops = materialize(tops, "hubs")
+    tops = members.join(popular, "node").groupBy("band", "value").agg(F.max(F.struct("pop", "node")).alias("top"))
+    tops = materialize(tops.select("band", "value", "top.node", "top.pop"), "hubs")
     close = materialize(parents(values), "parents")
-    foremost = tops.unionByName(single.select("band", "value", "node"))
-    pairs = members.join(tops.withColumnRenamed("node", "hub"), ["band", "value"]).select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    ends = close.join(foremost.withColumnRenamed("node", "a"), ["band", "value"]).join(foremost.select("band", F.col("value").alias("parent"), F.col("node").alias("b")), ["band", "parent"])
-    links = materialize(verify(pairs.unionByName(ends.select("a", "b"))), "links")
-    labels = connected_components(links)
+    foremost = tops.unionByName(single.select("band", "value", "node", F.lit(0).cast("long").alias("pop")))
+    pairs = members.join(tops.withColumnRenamed("node", "hub"), ["band", "value"]).select(F.col("node").alias("a"), F.col("hub").alias("b"), "pop")
+    ends = close.join(foremost.select("band", "value", F.col("node").alias("a")), ["band", "value"]).join(foremost.select("band", F.col("value").alias("parent"), F.col("node").alias("b"), "pop"), ["band", "parent"])
+    pairs = pairs.unionByName(ends.select("a", "b", "pop")).where("a != b").groupBy("a", "b").agg(F.max("pop").alias("pop"))
+    pairs = materialize(pairs, "pairs")
+    labels = nodes.select("node", F.col("node").alias("root"))
+    # the most popular partner of each text first: in a large group this leaves few pairs that are apart
+    labels = merged(labels, verify(pairs.groupBy("a").agg(F.max(F.struct("pop", "b"))["b"].alias("b"))))
+    labels = merged(labels, verify(apart(pairs, labels)))
+    tried = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
     # what met in a band but lies in several groups yet: a meeting is a value with those it is the parent of
-    own = members.select("band", "value", "node").unionByName(single.select("band", "value", "node"))
-    met = close.join(own, ["band", "value"]).select("band", F.col("parent").alias("value"), "node")
-    met = met.unionByName(close.select("band", F.col("parent").alias("value")).distinct().join(own, ["band", "value"]))
-    met = met.unionByName(members.join(close.select("band", F.col("parent").alias("value")), ["band", "value"], "left_anti").select("band", "value", "node"))
-    more = met.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 2")
-    met = materialize(met.join(more, ["band", "value"], "left_semi"), "meetings")
-    hubs = near.hubs
+    either = close.select("band", "value").unionByName(close.select("band", F.col("parent").alias("value"))).distinct()
+    own = materialize(members.select("band", "value", "node").unionByName(single.select("band", "value", "node").join(either, ["band", "value"], "left_semi")), "own")
+    hubs, met = near.hubs, None
     while True:
-        named = met.join(labels, "node", "left").select("band", "value", "node", F.coalesce("root", "node").alias("root"))
-        reps = named.groupBy("band", "value", "root").agg(F.min(F.struct(F.xxhash64("node", "band"), "node"))["node"].alias("node"))
-        open_ = reps.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
-        reps = materialize(reps.join(open_, ["band", "value"]), "reps")
+        rep = F.min(F.struct(F.xxhash64("node", "band"), "node", "sig")).alias("rep")
+        seen = own.join(labels.join(nodes.select("node", "sig"), "node"), "node").groupBy("band", "value", "root").agg(rep).select("band", "value", "root", "rep.node", "rep.sig")
+        reps = close.join(seen, ["band", "value"]).select("band", F.col("parent").alias("value"), "root", "node", "sig").unionByName(seen)
+        reps = reps if met is None else reps.join(met, ["band", "value"], "left_semi")
+        reps = materialize(reps.groupBy("band", "value", "root").agg(rep).select("band", "value", "root", "rep.node", "rep.sig"), "reps")
+        reps = materialize(reps.join(reps.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1"), ["band", "value"]), "openreps")
         draw = F.pmod(F.xxhash64("node", "value", F.lit(hubs)), F.lit(1 << 20)) * F.col("n")
-        few = reps.where((F.col("n") <= hubs) | (draw < hubs << 20)).select("band", "value", F.col("node").alias("b"))
-        again = verify(reps.select("band", "value", F.col("node").alias("a")).join(few, ["band", "value"]).select("a", "b"))
-        links = materialize(links.unionByName(again), "links")
-        labels = connected_components(links)
-        met = met.join(open_.where(F.col("n") > hubs), ["band", "value"], "left_semi")
-        if reps.where(F.col("n") > hubs).limit(1).count() == 0:
+        few = reps.where((F.col("n") <= hubs) | (draw < hubs << 20)).select("band", "value", F.col("node").alias("b"), F.col("sig").alias("sig_b"))
+        x = reps.select("band", "value", F.col("node").alias("a"), F.col("sig").alias("sig_a")).alias("x")
+        meet = (F.col("x.band") == few["band"]) & (F.col("x.value") == few["value"]) & (F.col("a") != F.col("b"))
+        again = x.join(few, meet & (distance(F.col("sig_a"), F.col("sig_b")) <= near.most_bits)).select("a", "b")
+        again = materialize(again.join(tried, ["a", "b"], "left_anti").distinct(), "again")
+        if not again.isEmpty():
+            labels = merged(labels, verify(again))
+        met = reps.where(F.col("n") > hubs).select("band", "value").distinct()
+        if met.isEmpty():
             break
-        met, hubs = materialize(met, "meetings"), 2 * hubs
-    rooted = nodes.join(labels, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+        tried, hubs = tried.unionByName(again), 4 * hubs
+    rooted = nodes.join(labels, "node").select("node", "first", "root")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     owner = rooted.join(least, "root").select("node", "component_id")
     out = known.select("doc_id", "node").join(owner, "node")
