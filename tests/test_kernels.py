@@ -123,3 +123,29 @@ def test_kalman_equals_the_joint_gaussian():
 def test_gaussian_product():
     m, c = st.multiply_gaussians(np.array([0.0]), np.eye(1), np.array([2.0]), np.eye(1))
     assert m[0] == pytest.approx(1) and c[0, 0] == pytest.approx(0.5)
+
+
+def test_windows_cover_whole_series(spark):
+    from pyspark.sql import functions as F
+
+    from weirflow.operators import welch
+
+    sizes = {1: 5, 2: 64, 3: 65, 4: 200, 5: 97}
+    rows = [(u, i, float(i)) for u, n in sizes.items() for i in range(n)]
+    got = welch.windows(spark.createDataFrame(rows, "u int, i long, x double").repartition(7), "u", "i", ["x"]).collect()
+    for u, n in sizes.items():
+        mine = sorted((r.start, r.x) for r in got if r.u == u)
+        assert all(x == [float(s + k) for k in range(min(n, 64))] for s, x in mine)
+        assert {v for _, x in mine for v in x} == set(map(float, range(n)))
+        assert [s for s, _ in mine] == sorted({*range(0, max(n - 64, 0) + 1, 32), max(n - 64, 0)})
+    flat = spark.range(300).select(F.lit(1).alias("u"), F.col("id").alias("i"), F.sin(F.col("id") * F.lit(2 * 3.141592653589793 / 8)).alias("x"))
+    power = welch.averaged(flat, "u", "i", ["x"], lambda x: dict(zip(("frequency", "power"), sp.multitaper_psd(x, 3), strict=True)), ["power"]).orderBy(F.desc("power")).first()
+    assert abs(power.frequency - 125) <= 1000 / 64
+
+
+def test_camel_to_snake(spark):
+    from weirflow.functions import text
+
+    pairs = [("eventTypeOf", "event_type_of"), ("HTTPServer2Go", "http_server2_go"), ("A", "a"), ("aB", "a_b"), ("getURL", "get_url"), ("", ""), ("x1Y", "x1_y")]
+    rows = spark.createDataFrame([(a,) for a, _ in pairs], "s string").coalesce(1)
+    assert [r[0] for r in rows.select(text.camel_to_snake(rows["s"])).collect()] == [b for _, b in pairs]

@@ -56,13 +56,19 @@ def multitaper_psd(x: np.ndarray, k: int, rate: float = 1000.0, no_dc: bool = Tr
     return freqs[keep], power[keep]
 
 
-def coherence(x: np.ndarray, y: np.ndarray, k: int, rate: float = 1000.0) -> tuple[np.ndarray, np.ndarray]:
-    """Squared multitaper coherence at positive frequencies: spectra averaged over tapers, then squared."""
+def cross_spectra(x: np.ndarray, y: np.ndarray, k: int, rate: float = 1000.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Positive frequencies, both power spectra and the complex cross spectrum, averaged over tapers."""
     tapers = dpss(len(x), (k + 1) / 2, k)
     fx, fy = np.fft.fft(tapers * (x - x.mean()), axis=1), np.fft.fft(tapers * (y - y.mean()), axis=1)
     freqs = np.fft.fftfreq(len(x), 1 / rate)
-    c = np.abs((fx * fy.conj()).mean(0)) ** 2 / ((np.abs(fx) ** 2).mean(0) * (np.abs(fy) ** 2).mean(0) + 1e-300)
-    return freqs[freqs > 0], c[freqs > 0]
+    keep = freqs > 0
+    return freqs[keep], (np.abs(fx) ** 2).mean(0)[keep], (np.abs(fy) ** 2).mean(0)[keep], (fx * fy.conj()).mean(0)[keep]
+
+
+def coherence(x: np.ndarray, y: np.ndarray, k: int, rate: float = 1000.0) -> tuple[np.ndarray, np.ndarray]:
+    """Squared multitaper coherence at positive frequencies: spectra averaged over tapers, then squared."""
+    freqs, own, other, cross = cross_spectra(x, y, k, rate)
+    return freqs, np.abs(cross) ** 2 / (own * other + 1e-300)
 
 
 def morlet_power(x: np.ndarray, freqs: np.ndarray, w: float = 4.0, rate: float = 1000.0) -> np.ndarray:

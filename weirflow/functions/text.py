@@ -6,9 +6,9 @@ from pyspark.sql import Column, functions as F
 
 
 def camel_to_snake(s: Column) -> Column:
-    """Underscores before capitals that begin a word, then lower case."""
-    parted = F.regexp_replace(s, "(.)([A-Z][a-z]+)", "$1_$2")
-    return F.lower(F.regexp_replace(parted, "([a-z0-9])([A-Z])", "$1_$2"))
+    """Lower case with underscores where a word begins: a capital after a small letter or digit, or the last
+    of a run of capitals that small letters follow."""
+    return F.lower(F.regexp_replace(s, "(?<=[a-z0-9])(?=[A-Z])|(?<=.)(?=[A-Z][a-z])", "_"))
 
 
 def snake_to_camel(s: Column) -> Column:
@@ -19,15 +19,15 @@ def snake_to_camel(s: Column) -> Column:
 
 
 def shorten_by_words(s: Column, n: int = 50) -> Column:
-    """Leading words, each with a blank before it, while the whole stays under n characters."""
+    """Leading words (parted by white space), each with a blank before it, while the whole has at most n characters."""
     start = F.struct(F.lit("").alias("t"), F.lit(True).alias("on"))
 
     def step(acc: Column, w: Column) -> Column:
         longer = F.concat(acc["t"], F.lit(" "), w)
-        fits = acc["on"] & (F.length(longer) < n)
+        fits = acc["on"] & (F.length(longer) <= n)
         return F.struct(F.when(fits, longer).otherwise(acc["t"]).alias("t"), fits.alias("on"))
 
-    return F.aggregate(F.split(s, " "), start, step, lambda acc: acc["t"])
+    return F.aggregate(F.filter(F.split(s, r"\s+"), lambda w: w != ""), start, step, lambda acc: acc["t"])
 
 
 def word_wrap(s: Column, width: int = 80) -> Column:
@@ -55,7 +55,8 @@ def percent(n: Column, total: Column) -> Column:
 
 
 def is_integer(s: Column) -> Column:
-    return s.rlike(r"^\s*[+-]?[0-9]+\s*$")
+    """Digits with an optional sign, and an optional point after which only zeros stand."""
+    return s.rlike(r"^\s*[+-]?[0-9]+(\.0*)?\s*$")
 
 
 def mixed_radix(values: list[Column], sizes: list[int]) -> Column:

@@ -14,6 +14,8 @@ def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder of `spark.checkpoint.dir`; a temporary one is set only where it is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="weirflow-")
         spark.conf.set("spark.checkpoint.dir", at)
     if not spark.sparkContext.getCheckpointDir():
@@ -22,8 +24,17 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def key_of(name: str, plan: DataFrame, **arguments) -> str:
-    """Name, canonical arguments and plan as one short key; arguments in any order give the same."""
-    said = json.dumps({"name": name, "args": arguments, "plan": plan.semanticHash()}, sort_keys=True, default=str)
+    """Name, canonical arguments, canonical plan and the state of its input files as one short key.
+
+    Arguments in any order give the same; new or changed files under the same path give another."""
+    spark, files = plan.sparkSession, []
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    for file in sorted(plan.inputFiles()):
+        path = spark._jvm.org.apache.hadoop.fs.Path(file)
+        status = path.getFileSystem(conf).getFileStatus(path)
+        files.append((file, status.getLen(), status.getModificationTime()))
+    canonical = plan._jdf.queryExecution().optimizedPlan().canonicalized().toString()
+    said = json.dumps({"name": name, "args": arguments, "plan": [plan.semanticHash(), canonical], "schema": plan.schema.json(), "files": files}, sort_keys=True, default=str)
     return f"{name}-{hashlib.sha256(said.encode()).hexdigest()[:24]}"
 
 

@@ -37,9 +37,9 @@ def all_pairs_corr(spark, sf_dir):
     return made.select("query", "vec_id", (F.round("value", 5) + 0.0).alias("value"))
 
 
-@query(f"WITH m AS (SELECT vec_id AS row, unnest(range(0, 64)) AS col, unnest({_E}) AS value FROM embeddings) SELECT a.col AS row, b.col, round(sum(a.value * b.value), 4) + 0.0 AS value FROM m a JOIN m b ON a.row = b.row WHERE a.col < 8 AND b.col < 8 GROUP BY ALL")
+@query(f"WITH m AS (SELECT vec_id AS row, unnest(range(0, 64)) AS col, unnest({_E}) AS value FROM embeddings) SELECT a.col AS row, b.col, round(sum(a.value * b.value), 4) + 0.0 AS value FROM m a JOIN m b ON a.row = b.row GROUP BY ALL")
 def matrix_product(spark, sf_dir):
-    m = v.to_long(_vectors(spark, sf_dir), "vec_id", "e").where("col < 8")
+    m = v.to_long(_vectors(spark, sf_dir), "vec_id", "e")
     return v.matmul(v.transpose(m), m).select("row", "col", (F.round("value", 4) + 0.0).alias("value"))
 
 
@@ -50,8 +50,8 @@ def matrix_norm(spark, sf_dir):
 
 @query()
 def array_helpers(spark, sf_dir):
-    e = F.slice("e", 1, 6)
-    return _vectors(spark, sf_dir).select("vec_id", v.box_sum(e, 3).alias("box"), v.padded(e, 8).alias("padded"), v.edges(e).alias("edges"), v.centres(v.edges(e)).alias("centres"), v.nondecreasing(e).alias("rising"), v.onehot(F.col("vec_id") % 4, 4).alias("onehot"), v.zscored(e).alias("z"))
+    e = F.col("e")
+    return _vectors(spark, sf_dir).select("vec_id", v.box_sum(e, 3).alias("box"), v.padded(e, 70).alias("padded"), v.edges(e).alias("edges"), v.centres(v.edges(e)).alias("centres"), v.nondecreasing(e).alias("rising"), v.onehot(F.col("vec_id") % 4, 4).alias("onehot"), v.zscored(e).alias("z"))
 
 
 @query("SELECT event_id, '#' || lpad(to_hex(r), 2, '0') || lpad(to_hex(g), 2, '0') || lpad(to_hex(b), 2, '0') AS code, round(CAST(0.299 AS DOUBLE) * r + CAST(0.587 AS DOUBLE) * g + CAST(0.114 AS DOUBLE) * b, 4) AS light, CAST(((r >> 3) << 11) | ((g >> 2) << 5) | (b >> 3) AS BIGINT) AS packed, CAST((r << 16) | (g << 8) | b AS BIGINT) AS wide FROM (SELECT event_id, event_id % 256 AS r, (event_id * 7) % 256 AS g, user_id % 256 AS b FROM events)")

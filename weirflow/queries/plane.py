@@ -97,7 +97,11 @@ def connected_components(spark, sf_dir):
 def mutual_matching(spark, sf_dir):
     _checkpoints(spark)
     points = _points(spark, sf_dir)
-    pairs = g.near_pairs(points, "vec_id", 0.02).where("a % 2 = 0 and b % 2 = 1")
+    near = g.near_pairs(points, "vec_id", 0.02).select("a", "b")
+    near = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    side = load(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") < 5).alias("left"))
+    left, right = (side.where(F.col("left") == on).select(F.col("vec_id").alias(n)) for n, on in (("a", True), ("b", False)))
+    pairs = near.join(left, "a", "left_semi").join(right, "b", "left_semi")
     at = lambda n: points.select(F.col("vec_id").alias(n), F.col("x").alias(f"x{n}"), F.col("y").alias(f"y{n}"))
     rows = pairs.join(at("a"), "a").join(at("b"), "b").select("a", "b", F.sqrt(F.pow(F.col("xa") - F.col("xb"), 2) + F.pow(F.col("ya") - F.col("yb"), 2)).alias("distance"))
     return g.mutual_pairs(points, points, rows)

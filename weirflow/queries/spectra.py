@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from ..functions import spectral as sp, state as st
 from ..operators.events import snippets
-from ..operators.kernels import map_pairs, map_series
+from ..operators.kernels import map_series
+from ..operators.welch import averaged
 from ..sources.tables import load, micros, series
 from .registry import query, r6
 
@@ -30,10 +31,10 @@ def hilbert_phase(spark, sf_dir):
 @query()
 def multitaper_psd(spark, sf_dir):
     def kernel(x):
-        f, p = sp.multitaper_psd(x[:64], 3)
+        f, p = sp.multitaper_psd(x, 3)
         return {"frequency": f, "power": p}
 
-    return map_series(_samples(spark, sf_dir), "user_id", "i", "value", kernel, "frequency double, power double", least=64)
+    return averaged(_samples(spark, sf_dir), "user_id", "i", ["value"], kernel, ["power"])
 
 
 @query()
@@ -41,10 +42,11 @@ def coherence_with_time_of_day(spark, sf_dir):
     rows = _samples(spark, sf_dir).withColumn("h", F.cos(2 * F.pi() * (micros("ts") % 86400000000) / 86400e6))
 
     def kernel(x, y):
-        f, c = sp.coherence(x[:64], y[:64], 3)
-        return {"frequency": f, "coherence": c}
+        f, own, other, cross = sp.cross_spectra(x, y, 3)
+        return {"frequency": f, "own": own, "other": other, "re": cross.real, "im": cross.imag}
 
-    return map_pairs(rows, "user_id", "i", "value", "h", kernel, "frequency double, coherence double", least=64)
+    sums = averaged(rows, "user_id", "i", ["value", "h"], kernel, ["own", "other", "re", "im"])
+    return sums.select("user_id", "frequency", ((F.col("re") * F.col("re") + F.col("im") * F.col("im")) / (F.col("own") * F.col("other") + 1e-300)).alias("coherence"))
 
 
 @query()

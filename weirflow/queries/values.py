@@ -163,7 +163,7 @@ def camel_and_snake(spark, sf_dir):
     return rows.select("event_type", F.col("event_type").alias("kept"), camel.alias("camel"), text.camel_to_snake(camel).alias("snake"))
 
 
-@query("SELECT doc_id, max(coalesce(CASE WHEN length(p) < 50 THEN p END, '')) AS short FROM (SELECT doc_id, ' ' || list_aggregate(string_split(text, ' ')[1:k], 'string_agg', ' ') AS p FROM (SELECT doc_id, text, unnest(range(1, 60)) AS k FROM documents) WHERE k <= len(string_split(text, ' '))) GROUP BY doc_id")
+@query(r"WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS l FROM documents) SELECT doc_id, max(coalesce(CASE WHEN length(p) <= 50 THEN p END, '')) AS short FROM (SELECT doc_id, CASE WHEN k > 0 THEN ' ' || list_aggregate(l[1:k], 'string_agg', ' ') ELSE '' END AS p FROM (SELECT doc_id, l, unnest(range(0, 60)) AS k FROM w) WHERE k <= len(l)) GROUP BY doc_id")
 def shorten_words(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", text.shorten_by_words(F.col("text")).alias("short"))
 
