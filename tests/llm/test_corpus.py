@@ -120,6 +120,33 @@ def test_passages_that_stand_twice(spark):
     assert got == [(2, 1, 80, 142, 90, 152, 60), (2, 1, 222, 284, 90, 152, 60)]
 
 
+def test_passages_with_substitutions(spark):
+    """Of passages with single words changed at random, 0.8 equal or more, nine in ten or more are found."""
+    rng, rows, kinds = random.Random(31), [], {}
+    for n in range(400):
+        words, rate = ((40, 0.1), (40, 0.15), (50, 0.19), (60, 0.1))[n % 4]
+        shared = prose(rng, words, 10**9)
+        copy = [f"c{rng.randrange(10**9)}" if rng.random() < rate and 0 < k < words - 1 else w for k, w in enumerate(shared)]
+        if sum(x == y for x, y in zip(shared, copy, strict=True)) >= 0.8 * words:
+            kinds.setdefault((words, rate), []).append(2 * n + 1)
+        for k, put in enumerate((shared, copy)):
+            rows.append((2 * n + k, " ".join([*prose(rng, 70, 10**9), *put, *prose(rng, 70, 10**9)])))
+    fifth = prose(rng, 60, 10**9)
+    rows += [(900, " ".join(fifth)), (901, " ".join("other" if k % 5 == 2 else w for k, w in enumerate(fifth)))]
+    got = {r.doc_id: r.source_doc_id for r in substring_dedup.shared_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert all(got[i] == i - 1 for i in got) and 901 in got
+    recall = {k: sum(i in got for i in ids) / len(ids) for k, ids in kinds.items()}
+    assert min(recall.values()) >= 0.9, recall
+
+
+def test_two_texts_of_one_id(spark):
+    rng = random.Random(33)
+    a, b = prose(rng, 80, 10**9), prose(rng, 30, 10**9)
+    rows = [(7, [*b, *a, *b]), (7, prose(rng, 60, 10**9)), (3, [*prose(rng, 50, 10**9), *a]), (9, [*a, *prose(rng, 20, 10**9)]), (9, [*a, *prose(rng, 20, 10**9)])]
+    got = sorted(tuple(r)[:4] for r in substring_dedup.shared_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect())
+    assert got == [(7, 3, 30, 110), (9, 3, 0, 80), (9, 3, 0, 80)]
+
+
 def test_chaining_takes_the_best_order():
     """Against trying every ordered subset."""
     p, rng = substring_dedup.Passage(), random.Random(9)
