@@ -15,12 +15,10 @@ from re import _constants as C, _parser
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import fold, materialize
+from .common import fold
 
 Query = list[frozenset[str]]
 ALWAYS: Query = [frozenset()]
-#: Candidate rows up to which they are broadcast to the texts; beyond, both sides are shuffled.
-BROADCAST_ROWS = 200_000
 
 
 @dataclass(frozen=True)
@@ -152,12 +150,12 @@ def scan(docs: DataFrame, rules: Sequence[Rule] = BASE_RULES + EXTRA_RULES) -> D
     Returns doc_id and `found`, an array of structs (s, rank, e), sorted; `rank` is the rule's place in
     `rules`. A null text is empty and has none. Rows with the same or a null doc_id are each scanned on
     their own text: the index only says which rules may match, and verification decides."""
-    # an index over the ten rules is a few rows a document; its size decides how it meets the texts
-    cand = materialize(candidates(docs, rules), "secretcand")
-    side = cand.withColumnRenamed("doc_id", "_doc")
-    side = F.broadcast(side) if cand.count() <= BROADCAST_ROWS else side
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text")).join(side, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
+    # texts meet their candidates by a hash join at every size; one without an id may match any rule
+    side = candidates(docs.where("doc_id is not null"), rules).withColumnRenamed("doc_id", "_doc")
+    texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    known = texts.where("doc_id is not null").join(side.hint("shuffle_hash"), F.col("doc_id") == F.col("_doc"), "left").select("doc_id", "text", "kinds")
+    every = F.array(*(F.lit(r.kind) for r in rules))
+    rows = known.unionByName(texts.where("doc_id is null").select("doc_id", "text", every.alias("kinds")))
     parts = []
     for rank, rule in enumerate(rules):
         spans = spans_of(F.col("text"), rule, rank)
