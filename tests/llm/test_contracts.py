@@ -216,6 +216,20 @@ def test_tokens(spark, odd, docs, tmp_path):
     assert token_output.round_trip(docs.limit(0), tokenizer).count() == 0
 
 
+def test_words_encode_as_in_whole_texts():
+    """Random strings of plain, odd and special characters, and a tokenizer that joins across white space."""
+    rng = random.Random(3)
+    pool = [*map(chr, [*range(1, 0x180), *range(0x400, 0x530), 0x301, 0x3A3, 0x3C2, 0x4E2D, 0x1F600]), *"'''''sStTreEveLlMmdD0123  \n" * 8, *["<|endoftext|>", "'re"] * 3]
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randrange(1, 60))) for _ in range(3000)]
+    for name, by_word in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        cache = token_output.WordCache(public_tokenizers.path(name))
+        assert (cache.by_word is not None) is by_word
+        ids, sizes = cache.encode([t.encode() for t in texts], 2)
+        ends = sizes.cumsum()
+        whole = Tokenizer.from_file(public_tokenizers.path(name)).encode_batch(texts, add_special_tokens=False)
+        assert all(ids[e - n : e].tolist() == [*w.ids, 2] for e, n, w in zip(ends, sizes, whole, strict=True))
+
+
 def test_token_files(docs, tmp_path):
     import pyarrow.parquet as pq
 

@@ -26,13 +26,18 @@ SCHEMA = "doc_id long, part int, part_start long, n_tokens long, ids array<int>"
 CACHE_WORDS = 1 << 19
 
 
-_PRINTABLE = re.compile(rb"[!-~]+").fullmatch
+#: Latin and Cyrillic letters beyond ASCII that normal form C keeps and whose lower case is one of them.
+_MORE = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f\u0400-\u0481\u048a-\u052f"
+_PLAIN = re.compile(f"[!-~{_MORE}]+").fullmatch
 _LETTERS, _NUMBERS = r"\p{L}", r"\p{N}"
+#: Byte-level characters: bytes that show stand for themselves, the others for 256 and what follows, in order.
+_SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTES = {b: 256 + n for n, b in enumerate(sorted(set(range(256)) - _SHOWN))}
 
 
 def word_pattern(tokenizer: dict) -> tuple[re.Pattern, bool] | None:
-    """How a tokenizer's file parts an ASCII word, and whether it lowers it first; None where words can't be
-    encoded apart.
+    """How a tokenizer's file parts a word of ASCII and `_MORE`, and whether it lowers it first; None where words
+    can't be encoded apart.
 
     They can if all the normalizer does is NFC, white space to one space and lower case, if the
     pre-tokenizer keeps matches of a pattern that excludes white space, byte by byte, and if special tokens
@@ -52,11 +57,12 @@ def word_pattern(tokenizer: dict) -> tuple[re.Pattern, bool] | None:
     for added in tokenizer["added_tokens"]:
         if added["single_word"] or added["lstrip"] or added["rstrip"] or added["normalized"] or added["content"].split() != [added["content"]]:
             return None
-    source = split["pattern"].get("Regex", "").replace(_LETTERS, "A-Za-z").replace(_NUMBERS, "0-9")
+    source = split["pattern"].get("Regex", "").replace(_LETTERS, f"A-Za-z{_MORE}").replace(_NUMBERS, "0-9")
     branches = source.split("|")
-    if not all(re.fullmatch(r"'[a-z]+|\[A-Za-z\]\+|\[0-9\]\+?|\[\^\\sA-Za-z0-9\]\+", x) for x in branches):
+    known = f"[A-Za-z{_MORE}]+", "[0-9]", "[0-9]+", f"[^\\sA-Za-z{_MORE}0-9]+"
+    if not all(x in known or re.fullmatch("'[a-z]+", x) for x in branches):
         return None
-    return re.compile(source.encode()), any(step["type"] == "Lowercase" for step in steps)
+    return re.compile(source), any(step["type"] == "Lowercase" for step in steps)
 
 
 class _Pieces(dict):
@@ -66,8 +72,8 @@ class _Pieces(dict):
         super().__init__()
         self.model = model
 
-    def __missing__(self, piece: bytes) -> tuple[int, ...]:
-        ids = self[piece] = tuple([t.id for t in self.model.tokenize(piece.decode())])
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        ids = self[piece] = tuple([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_BYTES))])
         return ids
 
 
@@ -81,7 +87,7 @@ class WordCache:
     """Token ids of texts, by word where the tokenizer never joins across ASCII white space.
 
     Encoding a text word by word then gives the ids of the whole text. Each distinct word is encoded once,
-    an ASCII word through the distinct pieces that the pre-tokenizer leaves of it, and ids are gathered by
+    a plain word through the distinct pieces that the pre-tokenizer leaves of it, and ids are gathered by
     array indexing. With any other tokenizer whole texts are encoded."""
 
     def __init__(self, path: str):
@@ -91,8 +97,8 @@ class WordCache:
         with open(path, encoding="utf-8") as file:
             described = json.load(file)
         self.by_word = word_pattern(described)
-        special = [re.escape(x["content"].encode()) for x in described["added_tokens"]]
-        self.special = re.compile(b"|".join(special) or b"(?!)").search
+        special = [re.escape(x["content"]) for x in described["added_tokens"]]
+        self.special = re.compile("|".join(special) or "(?!)").search
         self.pieces = _Pieces(self.encoder.model)
         self.index: defaultdict[bytes, int] = defaultdict()
         self.flat, self.begin, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -116,8 +122,8 @@ class WordCache:
         """Encode the words that were last numbered."""
         (pattern, lower), slow, flat, ends = self.by_word, [], [], []
         split, pieces, special = pattern.findall, self.pieces, self.special
-        for n, w in enumerate(new):
-            if _PRINTABLE(w) and not special(w):
+        for n, w in enumerate(map(bytes.decode, new)):
+            if _PLAIN(w) and not special(w):
                 for piece in split(w.lower() if lower else w):
                     flat += pieces[piece]
             else:
