@@ -131,10 +131,11 @@ def test_passages_with_substitutions(spark):
             kinds.setdefault((words, rate), []).append(2 * n + 1)
         for k, put in enumerate((shared, copy)):
             rows.append((2 * n + k, " ".join([*prose(rng, 70, 10**9), *put, *prose(rng, 70, 10**9)])))
-    fifth = prose(rng, 60, 10**9)
-    rows += [(900, " ".join(fifth)), (901, " ".join("other" if k % 5 == 2 else w for k, w in enumerate(fifth)))]
+    for n in range(900, 920, 2):  # every fifth word: no five equal words in a row
+        fifth = prose(rng, 60, 10**9)
+        rows += [(n, " ".join(fifth)), (n + 1, " ".join("other" if k % 5 == 2 else w for k, w in enumerate(fifth)))]
     got = {r.doc_id: r.source_doc_id for r in substring_dedup.shared_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
-    assert all(got[i] == i - 1 for i in got) and 901 in got
+    assert all(got[i] == i - 1 for i in got) and sum(i >= 900 for i in got) >= 8
     recall = {k: sum(i in got for i in ids) / len(ids) for k, ids in kinds.items()}
     assert min(recall.values()) >= 0.9, recall
 
