@@ -51,9 +51,42 @@ def test_model_learns_order(spark):
 
 def test_nce_is_normalised_and_near_the_counts():
     counts = np.random.default_rng(2).integers(1, 50, (12, 12)).astype(float)
-    logp = lm_score.train_nce(counts, lm_score.Shape(classes=12, width=12, rounds=1500))
-    assert np.allclose((10**logp).sum(1), 1)
-    assert np.abs(10**logp - counts / counts.sum(1, keepdims=True)).max() < 0.05
+    x, q, b, _ = lm_score.train_nce(counts, lm_score.Shape(classes=12, width=12, rounds=1500))
+    joint = np.exp(x @ q.T + b - lm_score.normaliser(x, q, b)[:, None])
+    assert np.allclose(joint.sum(1), 1)
+    assert np.abs(joint - counts / counts.sum(1, keepdims=True)).max() < 0.05
+
+
+def test_context_vectors_grow_with_the_corpus(spark):
+    """Words beyond the classes have contexts of their own; log-probabilities sum to one for each, and a text's score
+    is the sum of what the plain formula gives."""
+    rng, shape = random.Random(5), lm_score.Shape(classes=12, width=8, floor=30, pull=5.0, steps=200)
+    after = {f"c{i}": f"n{i % 8}" for i in range(80)}
+    texts = [" ".join(w for c in rng.choices(sorted(after), k=60) for w in (c, after[c])) for _ in range(120)]
+    trained = []
+    for n in (20, 120):
+        docs = spark.createDataFrame(list(enumerate(texts[:n])), "doc_id long, text string")
+        counts = {bytes(r.token): r.c for r in lm_score.token_counts(docs).collect()}
+        names = [lm_score.END, *sorted(set(counts) - {lm_score.END}, key=lambda t: (-counts[t], t))]
+        contexts = max(11, 1 + sum(counts[t] >= shape.floor for t in names[1:]))
+        head = spark.sparkContext.broadcast(({t: i for i, t in enumerate(names)}, None))
+        pairs = lm_score.context_counts(docs, head, contexts, 12)
+        want = Counter()
+        for t in texts[:n]:
+            ids = [names.index(w) for w in lm_score.tokens(t.encode())]
+            want.update((min(a, contexts), min(b, 11)) for a, b in zip([0, *ids], ids))
+        assert {(r.context, r.cls): r.n for r in pairs.collect()} == want
+        trained.append((pairs.count(), contexts, lm_score.context_vectors(pairs, 12, contexts, len(names), shape)))
+    assert trained[1][0] > trained[0][0] and trained[1][1] > trained[0][1]
+    x, logz, q, b = trained[1][2]
+    logp = x @ q.T + b - logz[:, None]
+    assert np.allclose(np.exp(logp).sum(1), 1, atol=1e-4)
+    own = [i for i, t in enumerate(names) if t[:1] == b"c" and i >= 11]
+    follows = [names.index(after[names[i].decode()].encode()) for i in own]
+    # twice as likely as after the representation that words without their own share, at least
+    assert len(own) > 60 and np.mean(np.exp(logp[own, follows])) > 2 * np.mean(np.exp(logp[-1, follows]))
+    context, group = np.array([0, own[0], own[1], len(names)]), np.array([3, 4, 11, 0])
+    assert math.isclose(lm_score.log_probability(context, group, (x, logz, q, b)), logp[context, group].sum() / math.log(10), rel_tol=1e-4)
 
 
 def passages(rng):
