@@ -244,12 +244,15 @@ class _Verifier:
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
         """Links (a, b) among the rows (a, b)."""
-        near = self.near
         pairs = pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         for end in ("a", "b"):
             pairs = pairs.join(self.nodes.select(F.col("node").alias(end), F.col("sig").alias(f"sig_{end}"), F.col("first").alias(f"first_{end}")), end)
-        pairs = pairs.where(distance(F.col("sig_a"), F.col("sig_b")) <= near.most_bits)
-        pairs = materialize(pairs.select("a", "b", "first_a", "first_b"), "nearpairs")
+        pairs = pairs.where(distance(F.col("sig_a"), F.col("sig_b")) <= self.near.most_bits)
+        return self.similar(materialize(pairs.select("a", "b", "first_a", "first_b"), "nearpairs"))
+
+    def similar(self, pairs: DataFrame) -> DataFrame:
+        """Links (a, b) among the rows (a, b, first_a, first_b), which is a table, by their shingles alone."""
+        near = self.near
         asked = pairs.select(F.explode(F.array(*(F.struct(F.col(f"first_{e}").alias("doc_id"), F.col(e).alias("node")) for e in "ab"))).alias("x")).select("x.*").distinct()
         texts = self.docs.select("doc_id", F.xxhash64("text").alias("node"), "text").join(asked, ["doc_id", "node"], "left_semi")
         sets = materialize(map_texts(texts, ("node", "text"), _sets_kernel(near.k), "node long, shingles array<long>").dropDuplicates(["node"]), "nearsets")
@@ -260,16 +263,24 @@ class _Verifier:
         return pairs.select("a", "b", "set_a", "set_b", both.alias("both")).where(F.col("both") >= near.similarity * union - 1e-9).select("a", "b")
 
 
-def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose ends have different labels, and these as root_a and root_b."""
-    for end in ("a", "b"):
-        pairs = pairs.join(labels.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end)
-    return pairs.where("root_a != root_b")
+def apart(own: DataFrame, close: DataFrame) -> DataFrame:
+    """Pairs (a, b, pop) of each text with the foremost of its value, and of that one with those of the parents.
+
+    Rows (band, value, node, root, pop, fore) of `own` have the texts' groups, and pairs within a group are left out
+    before they are listed, so a large group that is found already gives none."""
+    top = own.where("fore").select("band", "value", F.col("node").alias("b"), F.col("root").alias("root_b"), "pop")
+    mine = own.where("not fore").select("band", "value", F.col("node").alias("a"), "root").join(top, ["band", "value"])
+    over = top.select("band", F.col("value").alias("parent"), "b", "root_b", "pop")
+    theirs = close.join(top.select("band", "value", F.col("b").alias("a"), F.col("root_b").alias("root")), ["band", "value"]).join(over, ["band", "parent"])
+    return mine.select("a", "b", "pop", "root", "root_b").unionByName(theirs.select("a", "b", "pop", "root", "root_b")).where("root != root_b").select("a", "b", "pop")
 
 
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels (node, root) of all texts after links (a, b) joined some. Only groups that grow are gone through."""
-    links = materialize(apart(links, labels).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct(), "links")
+    for end in ("a", "b"):
+        links = links.join(labels.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end)
+    links = links.where("root_a != root_b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+    links = materialize(links.distinct(), "links")
     if links.isEmpty():
         return labels
     roots = connected_components(links).select(F.col("node").alias("root"), F.col("root").alias("to"))
@@ -301,40 +312,45 @@ def similar_texts(docs: DataFrame, near: Near = Near()) -> DataFrame:
     tops = members.join(popular, "node").groupBy("band", "value").agg(F.max(F.struct("pop", "node")).alias("top"))
     tops = materialize(tops.select("band", "value", "top.node", "top.pop"), "hubs")
     close = materialize(parents(values), "parents")
-    foremost = tops.unionByName(single.select("band", "value", "node", F.lit(0).cast("long").alias("pop")))
-    pairs = members.join(tops.withColumnRenamed("node", "hub"), ["band", "value"]).select(F.col("node").alias("a"), F.col("hub").alias("b"), "pop")
-    ends = close.join(foremost.select("band", "value", F.col("node").alias("a")), ["band", "value"]).join(foremost.select("band", F.col("value").alias("parent"), F.col("node").alias("b"), "pop"), ["band", "parent"])
-    pairs = pairs.unionByName(ends.select("a", "b", "pop")).where("a != b").groupBy("a", "b").agg(F.max("pop").alias("pop"))
-    pairs = materialize(pairs, "pairs")
-    labels = nodes.select("node", F.col("node").alias("root"))
+    either = close.select("band", "value").unionByName(close.select("band", F.col("parent").alias("value"))).distinct()
+    alone = single.join(either, ["band", "value"], "left_semi").select("band", "value", "node", F.lit(0).cast("long").alias("pop"), F.lit(True).alias("fore"))
+    fore = (F.col("node") == F.col("hub")).alias("fore")
+    shared = members.join(tops.withColumnRenamed("node", "hub"), ["band", "value"]).select("band", "value", "node", "pop", fore)
+    own = materialize(shared.unionByName(alone), "own")
     # the most popular partner of each text first: in a large group this leaves few pairs that are apart
-    labels = merged(labels, verify(pairs.groupBy("a").agg(F.max(F.struct("pop", "b"))["b"].alias("b"))))
-    labels = merged(labels, verify(apart(pairs, labels)))
-    tried = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    best = apart(own.withColumn("root", F.col("node")), close).groupBy("a").agg(F.max(F.struct("pop", "b"))["b"].alias("b"))
+    best = materialize(best, "pairs")
+    labels = merged(nodes.select("node", F.col("node").alias("root")), verify(best))
+    rest = materialize(apart(own.join(labels, "node"), close).select("a", "b").distinct(), "pairs")
+    labels = merged(labels, verify(rest))
+    tried = best.unionByName(rest)
+    tried = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
     # what met in a band but lies in several groups yet: a meeting is a value with those it is the parent of
-    either = close.select("band", "value").unionByName(close.select("band", F.col("parent").alias("value"))).distinct()
-    own = materialize(members.select("band", "value", "node").unionByName(single.select("band", "value", "node").join(either, ["band", "value"], "left_semi")), "own")
     hubs, met = near.hubs, None
     while True:
-        rep = F.min(F.struct(F.xxhash64("node", "band"), "node", "sig")).alias("rep")
-        seen = own.join(labels.join(nodes.select("node", "sig"), "node"), "node").groupBy("band", "value", "root").agg(rep).select("band", "value", "root", "rep.node", "rep.sig")
-        reps = close.join(seen, ["band", "value"]).select("band", F.col("parent").alias("value"), "root", "node", "sig").unionByName(seen)
+        rep = F.min(F.struct(F.xxhash64("node", "band"), "node", "sig", "first")).alias("rep")
+        one = ("band", "value", "root", "rep.node", "rep.sig", "rep.first")
+        seen = own.join(labels.join(nodes, "node"), "node").groupBy("band", "value", "root").agg(rep).select(*one)
+        reps = close.join(seen, ["band", "value"]).select("band", F.col("parent").alias("value"), "root", "node", "sig", "first").unionByName(seen)
         reps = reps if met is None else reps.join(met, ["band", "value"], "left_semi")
-        reps = materialize(reps.groupBy("band", "value", "root").agg(rep).select("band", "value", "root", "rep.node", "rep.sig"), "reps")
+        reps = materialize(reps.groupBy("band", "value", "root").agg(rep).select(*one), "reps")
         reps = materialize(reps.join(reps.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1"), ["band", "value"]), "openreps")
         draw = F.pmod(F.xxhash64("node", "value", F.lit(hubs)), F.lit(1 << 20)) * F.col("n")
-        few = reps.where((F.col("n") <= hubs) | (draw < hubs << 20)).select("band", "value", F.col("node").alias("b"), F.col("sig").alias("sig_b"))
-        x = reps.select("band", "value", F.col("node").alias("a"), F.col("sig").alias("sig_a")).alias("x")
+        few = reps.where((F.col("n") <= hubs) | (draw < hubs << 20)).select("band", "value", F.col("node").alias("b"), F.col("sig").alias("sig_b"), F.col("first").alias("first_b"))
+        x = reps.select("band", "value", F.col("node").alias("a"), F.col("sig").alias("sig_a"), F.col("first").alias("first_a")).alias("x")
         meet = (F.col("x.band") == few["band"]) & (F.col("x.value") == few["value"]) & (F.col("a") != F.col("b"))
-        again = x.join(few, meet & (distance(F.col("sig_a"), F.col("sig_b")) <= near.most_bits)).select("a", "b")
-        again = materialize(again.join(tried, ["a", "b"], "left_anti").distinct(), "again")
+        again = x.join(few, meet & (distance(F.col("sig_a"), F.col("sig_b")) <= near.most_bits))
+        turn = lambda e, o: F.when(F.col("a") < F.col("b"), F.struct(*e)).otherwise(F.struct(*o))
+        ends, turned = ("a", "b", "first_a", "first_b"), (F.col("b").alias("a"), F.col("a").alias("b"), F.col("first_b").alias("first_a"), F.col("first_a").alias("first_b"))
+        again = again.select(turn(ends, turned).alias("x")).select("x.*").distinct()
+        again = materialize(again.join(tried, ["a", "b"], "left_anti"), "again")
         if not again.isEmpty():
-            labels = merged(labels, verify(again))
+            labels = merged(labels, verify.similar(again))
         met = reps.where(F.col("n") > hubs).select("band", "value").distinct()
         if met.isEmpty():
             break
-        tried, hubs = tried.unionByName(again), 4 * hubs
+        tried, hubs = tried.unionByName(again.select("a", "b")), 4 * hubs
     rooted = nodes.join(labels, "node").select("node", "first", "root")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     owner = rooted.join(least, "root").select("node", "component_id")
