@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+#: Spark's setting by which an execution's shuffle files go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: Java pattern of the white space that parts words.
@@ -42,9 +44,15 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write to a table in the shared folder and read it back: the lineage ends there, and a lost
     executor costs a reread instead of the work above. The table has no partitioning, so joins on it
-    are dealt by exchanges that adaptive execution can split where a key is hot."""
+    are dealt by exchanges that adaptive execution can split where a key is hot. The shuffle files of the
+    write go when it ends, as the table takes their place, whenever the driver next collects its garbage."""
     path = shared_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = df.sparkSession.conf.get(CLEANUP, None)
+    df.sparkSession.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        df.sparkSession.conf.set(CLEANUP, before or "false")
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
