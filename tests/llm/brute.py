@@ -108,3 +108,54 @@ def mix_targets(sizes, weights=(5, 2, 1), share=1.5, epochs=2.0):
 
 def crc(ids):
     return zlib.crc32(b"".join(int(i).to_bytes(4, "little") for i in ids))
+
+
+def trie(rows):
+    """Nodes of the trie of rebuilt conversations from (conv_id, turn, role, text)."""
+    raw = {}
+    for c, turn, role, text in rows:
+        if c is not None:
+            role, text = role or "", text or ""
+            raw.setdefault(c, []).append(((turn is not None, turn or 0), hashlib.sha256(f"{len(role)}:{role}{text}".encode()).hexdigest(), role, text))
+    raw = {c: [(r, t) for *_, r, t in sorted(own)] for c, own in raw.items()}
+    whole = {}
+    for c, own in raw.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        base = c - (abs(c) % 100) * (1 if c >= 0 else -1)
+        whole[c] = tuple(raw.get(base, [])[:h] + own[h:])
+    at = {}
+    for c, turns in whole.items():
+        for d in range(len(turns) + 1):
+            at.setdefault(turns[:d], []).append(c)
+    found = {}
+    for p in sorted(at, key=len, reverse=True):
+        below = [q for q in found if len(q) == len(p) + 1 and q[:-1] == p]
+        saved = (len(at[p]) - 1) * len(p[-1][1]) if p else 0
+        ends = ",".join(str(c) for c in sorted(at[p]) if whole[c] == p)
+        found[p] = (min(at[p]), len(p), min(at[p[:-1]]) if p else None, len(at[p]), len(below), max(1, sum(found[q][5] for q in below)), saved + sum(found[q][6] for q in below), hashlib.sha256(ends.encode()).hexdigest())
+    return list(found.values())
+
+
+def importance(docs, target, n=1, buckets=10000, least=20, percent=10, seed=2024):
+    """Rows (doc_id, n_features, weight, score, rank) from (doc_id, text) and target texts."""
+    import math
+
+    def found(text):
+        words = re.findall("[0-9a-z\x80-\U0010ffff]+", (text or "").translate(LOW))
+        return len(words), [zlib.crc32(" ".join(words[i : i + k]).encode()) % buckets for k in range(1, n + 1) for i in range(len(words) - k + 1)]
+
+    s, t, rows = Counter(), Counter(), []
+    for _, text in docs:
+        s.update(found(text)[1])
+    for text in target:
+        t.update(found(text)[1])
+    big, small = sum(s.values()), sum(t.values())
+    gain = lambda b: math.floor(1000 * math.log((t[b] + 1) * (big + buckets) / ((s[b] + 1) * (small + buckets))))
+    for i, text in docs:
+        words, own = found(text)
+        h = int(hashlib.sha256(f"{seed}:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        weight = sum(map(gain, own))
+        rows.append((words >= least, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 2**32))), i, weight, len(own)))
+    rows.sort(key=lambda r: (not r[0], -r[1], r[2] is not None, r[2] or 0, r[3]))
+    drawn = sum(r[0] for r in rows) * percent // 100
+    return [(i, k, weight, score, at if can and at <= drawn else None) for at, (can, score, i, weight, k) in enumerate(rows, 1)]
