@@ -7,7 +7,7 @@ import __spark_entry__ as e
 
 def test_queries():
     numbers = sorted(int(m[1]) for n in e.queries() if (m := re.match(r"op(\d+)_", n)))
-    assert numbers == list(range(1, 13)) and "pipeline" in e.queries()
+    assert numbers == list(range(1, 14)) and "pipeline" in e.queries()
 
 
 def test_mix_against_its_sql(spark):

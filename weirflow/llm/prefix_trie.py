@@ -193,13 +193,14 @@ def rolled_up(levels: list[DataFrame], turns: DataFrame, members: DataFrame, roo
     for d in range(len(levels), -1, -1):
         heads = single.where(F.col("head") & (F.col("depth") == d + 1)).select("parent_conv_id", "n_leaves", "saved_tokens")
         under = heads if below is None else heads.unionByName(below.select("parent_conv_id", "n_leaves", "saved_tokens"))
-        sums = under.groupBy(F.col("parent_conv_id").alias("conv_id")).agg(F.count(F.lit(1)).alias("n_children"), F.sum("n_leaves").alias("n_leaves"), F.sum("saved_tokens").alias("under"))
+        sums = [F.count(F.lit(1)).alias("n_children"), F.sum("n_leaves").alias("n_leaves"), F.sum("saved_tokens").alias("under")]
         if d:
             here = levels[d - 1].where("n_classes > 1").select(F.col("child").alias("conv_id"), F.col("node").alias("parent_conv_id"), "n_convs", ((F.col("n_convs") - 1) * F.col("len")).alias("own"))
-        else:
-            here = turns.sparkSession.range(1).select(root.alias("conv_id"), F.lit(None).cast("long").alias("parent_conv_id"), F.lit(n).cast("long").alias("n_convs"), F.lit(0).cast("long").alias("own"))
-        here = here.join(sums, "conv_id", "inner" if d else "left").select(
-            "conv_id", F.lit(d).cast("long").alias("depth"), "parent_conv_id", "n_convs", F.coalesce("n_children", F.lit(0)).alias("n_children"),
+            here = here.join(under.groupBy(F.col("parent_conv_id").alias("conv_id")).agg(*sums), "conv_id")
+        else:  # all that is left hangs from the root
+            here = under.agg(*sums).select("*", root.alias("conv_id"), F.lit(None).cast("long").alias("parent_conv_id"), F.lit(n).cast("long").alias("n_convs"), F.lit(0).cast("long").alias("own"))
+        here = here.select(
+            "conv_id", F.lit(d).cast("long").alias("depth"), "parent_conv_id", "n_convs", "n_children",
             F.coalesce("n_leaves", F.lit(1)).alias("n_leaves"), (F.col("own") + F.coalesce("under", F.lit(0))).alias("saved_tokens"),
         )
         below = materialize(here, f"nodes{d}")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, importance, license_scan, lm_score, mixing, prefix_trie, quality_rules, secret_scan, simhash, substring_dedup, token_output, url_filter
+from . import decontaminate, importance, license_scan, lm_score, mixing, neighbours, prefix_trie, quality_rules, secret_scan, simhash, substring_dedup, token_output, url_filter
 
 URL_RULES = (
     ("allow", "com/"),
@@ -75,6 +75,11 @@ def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_secret_scan": op2_secret_scan,
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_importance": op12_importance,
+    "op13_neighbours": op13_neighbours,
 }
 
 #: CRC-32 in SQL: `crc` holds the table of bytes, and CRC32 stands for an expression over the bytes of a BLOB `b`.
