@@ -21,16 +21,19 @@ from pyspark.sql.types import ArrayType, DoubleType
 from .common import drop_table, materialize
 from .texts import small_batches
 
+#: Queries whose best rows a task holds at once.
+HELD = 1 << 14
+
 
 @dataclass(frozen=True)
 class Search:
-    """`k` neighbours; leaves of about `leaf` classes, up to sample / 8 leaves; nodes split into `branch`.
+    """`k` neighbours; leaves of about `leaf` classes, up to sample / 8 leaves; nodes split into up to `branch`.
 
     `sample` bounds the classes the tree is fitted on, `probes` the queries that calibrate for `recall`. `block`
     bounds, on average, the classes or queries of a block."""
 
     k: int = 20
-    leaf: int = 256
+    leaf: int = 512
     branch: int = 8
     sample: int = 1 << 14
     probes: int = 256
@@ -85,11 +88,11 @@ class Tree:
         return out
 
 
-def split(x: np.ndarray, by: Search, rng: np.random.Generator) -> np.ndarray:
+def split(x: np.ndarray, parts: int, by: Search, rng: np.random.Generator) -> np.ndarray:
     """k-means: each row's part, from seeds far from one another by chance (k-means++)."""
     centres = x[[rng.integers(len(x))]]
     far = np.full(len(x), np.inf)
-    for _ in range(by.branch - 1):
+    for _ in range(parts - 1):
         far = np.minimum(far, ((x - centres[-1]) ** 2).sum(axis=1))
         if far.sum() <= 0:
             break
@@ -102,12 +105,13 @@ def split(x: np.ndarray, by: Search, rng: np.random.Generator) -> np.ndarray:
 
 
 def grow(x: np.ndarray, least: float, by: Search) -> Tree:
-    """The tree of a sample: nodes of more than `least` rows are split while they can be."""
+    """The tree of a sample: nodes of over 1.5 times `least` rows are split, into parts of no less on average."""
     rng = np.random.default_rng(by.seed)
     centres, children, leaf, todo = [x.mean(axis=0)], [np.zeros(0, int)], [-1], [(0, np.arange(len(x)))]
     while todo:
         node, rows = todo.pop()
-        part = split(x[rows], by, rng) if len(rows) > least else np.zeros(len(rows), int)
+        many = min(by.branch, round(len(rows) / least))
+        part = split(x[rows], many, by, rng) if many > 1 else np.zeros(len(rows), int)
         parts = [rows[part == p] for p in np.unique(part)]
         if len(parts) < 2:
             leaf[node] = max(leaf) + 1
@@ -156,13 +160,19 @@ def fitted(all_classes: DataFrame, n: int, by: Search, kind: str) -> Tree:
     return grow(x, max(8.0, by.leaf * len(x) / n), by)
 
 
-def best(scores: np.ndarray, k: int) -> list[np.ndarray]:
-    """For each row, the places of the k highest scores and of all that come near the k-th."""
-    if scores.shape[1] <= k:
-        return [np.arange(scores.shape[1])] * len(scores)
-    cut = np.partition(scores, -k, axis=1)[:, -k]
-    cut = cut - 1e-9 * (1 + np.abs(cut))
-    return [np.flatnonzero(row >= c) for row, c in zip(scores, cut, strict=True)]
+def merged(held: list[tuple[float, int]], q: np.ndarray, scores: np.ndarray, x: np.ndarray, ids: list[list[int]], k: int) -> list[tuple[float, int]]:
+    """The k best of those held, as (-score, id), and of a query's products with a block's classes.
+
+    Block products differ from a pair's own in the last digits; so candidates are taken with some room below the k-th,
+    and their scores are those of the pairs."""
+    cut = -held[-1][0] if len(held) == k else -np.inf
+    if len(scores) > k:
+        cut = max(cut, np.partition(scores, -k)[-k])
+    near = np.flatnonzero(scores >= cut - 1e-9 * (1 + abs(cut))) if np.isfinite(cut) else np.arange(len(scores))
+    if not len(near):
+        return held
+    fresh = np.einsum("ij,j->i", x[near], q)
+    return sorted(held + [(-s, i) for s, j in zip(fresh.tolist(), near.tolist(), strict=True) for i in ids[j]])[:k]
 
 
 def calibrated(index: DataFrame, queries: DataFrame, tree: Tree, by: Search, kind: str) -> int:
@@ -230,23 +240,27 @@ def blocks(rows: DataFrame, columns: list[str], name: str, size: int) -> DataFra
 
 
 def searched(pairs: DataFrame, k: int, kind: str) -> DataFrame:
-    """(key, vec_id, score): the k + 1 best rows of each pair of blocks, by score and then id."""
+    """(key, vec_id, score): the k best rows of each query over the pairs of blocks that a task has, by score and then id.
+
+    A task holds the best of at most HELD queries besides a pair of blocks, and gives them out when there are more."""
+
+    def given(held):
+        rows = [(key, i, -s) for key, found in held.items() for s, i in found]
+        yield pa.RecordBatch.from_pydict({"key": pa.array([r[0] for r in rows], pa.binary()), "vec_id": pa.array([r[1] for r in rows], pa.int64()), "score": pa.array([r[2] for r in rows], pa.float64())})
 
     def run(batches):
+        held: dict[bytes, list[tuple[float, int]]] = {}
         for batch in batches:
             for asked, there in zip(batch.column("asked"), batch.column("there"), strict=True):
                 asked, there = asked.values, there.values
                 q, x, ids = matrix(asked.field("vec"), kind), matrix(there.field("vec"), kind), there.field("ids").to_pylist()
-                rows, names, said = [], [], []
-                for row, near in enumerate(best(q @ x.T, k + 1)):
-                    scores = np.einsum("ij,j->i", x[near], q[row])
-                    top = sorted((-s, i) for s, j in zip(scores.tolist(), near.tolist(), strict=True) for i in ids[j])[: k + 1]
-                    rows += [row] * len(top)
-                    names += [i for _, i in top]
-                    said += [-s for s, _ in top]
-                yield pa.RecordBatch.from_pydict({"key": asked.field("key").take(pa.array(rows, pa.int64())), "vec_id": pa.array(names, pa.int64()), "score": pa.array(said, pa.float64())})
-
-    # each row holds two blocks
+                for key, one, scores in zip(asked.field("key").to_pylist(), q, q @ x.T, strict=True):
+                    held[key] = merged(held.get(key, []), one, scores, x, ids, k)
+                if len(held) > HELD:
+                    yield from given(held)
+                    held = {}
+        yield from given(held)
+
     return small_batches(pairs).mapInArrow(run, "key binary, vec_id long, score double")
 
 
@@ -278,7 +292,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, by: Search = Search()) -> Da
     visits = materialize(visited(distinct, tree, leaves, kind), "visits")
     pairs = blocks(visits, ["key", "vec"], "asked", by.block).join(blocks(index, ["vec", "ids"], "there", by.block), "leaf").select("asked", "there")
     place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "vec_id"))
-    found = searched(pairs, by.k, kind).withColumn("place", place).where(F.col("place") <= by.k + 1)
+    found = searched(pairs, by.k + 1, kind).withColumn("place", place).where(F.col("place") <= by.k + 1)
     found = found.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("place", "vec_id", "score"))).alias("found"))
     rows = asked.select(F.col("vec_id").alias("query_id"), "key").join(found, "key")
     own = F.array_position(F.transform("found", lambda f: f["vec_id"]), F.col("query_id"))
