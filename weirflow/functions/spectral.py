@@ -86,9 +86,9 @@ def log_frequencies(low: float, high: float, n: int) -> np.ndarray:
 
 
 @lru_cache(maxsize=64)
-def butterworth(order: int, low: float | None, high: float | None, rate: float) -> tuple[np.ndarray, np.ndarray]:
-    """Numerator and denominator of a digital Butterworth filter: low-, high- or band-pass by the bilinear
-    transform of the prewarped prototype."""
+def butterworth(order: int, low: float | None, high: float | None, rate: float, stop: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Numerator and denominator of a digital Butterworth filter: low-, high-, band-pass or band-stop by the
+    bilinear transform of the prewarped prototype."""
     warp = lambda f: 2 * rate * math.tan(math.pi * f / rate)
     poles = np.exp(1j * np.pi * (2 * np.arange(order) + order + 1) / (2 * order))
     if low is None:
@@ -97,6 +97,11 @@ def butterworth(order: int, low: float | None, high: float | None, rate: float)
     elif high is None:
         w = warp(low)
         zeros, poles, gain = np.zeros(order), w / poles, np.real(1 / np.prod(-poles))
+    elif stop:
+        a, b = warp(low), warp(high)
+        half, centre = (b - a) / (2 * poles), a * b
+        root = np.sqrt(half**2 - centre)
+        zeros, poles, gain = np.concatenate([np.full(order, 1j), np.full(order, -1j)]) * math.sqrt(centre), np.concatenate([half + root, half - root]), 1.0
     else:
         a, b = warp(low), warp(high)
         half, centre = poles * (b - a) / 2, a * b

@@ -128,3 +128,122 @@ def query_pairs(df: DataFrame, key: str, v: str, queries: DataFrame, measure=cos
     small."""
     asked = queries.select(F.col(key).alias("query"), F.col(v).alias("_q"))
     return df.select(key, v).join(asked, F.col(key) != F.col("query")).select("query", key, measure(F.col("_q"), F.col(v)).alias("value"))
+
+
+#: One number from each pair of elements.
+PAIRED = {
+    "sum": lambda x, y: x + y, "dif": lambda x, y: x - y, "mul": lambda x, y: x * y, "div": lambda x, y: x / y, "pow": F.pow,
+    "and": lambda x, y: F.when(x + y >= 2.0, 1.0).otherwise(0.0), "nor": lambda x, y: F.when(x + y <= 0.0, 1.0).otherwise(0.0),
+}
+#: 1 or 0 for each element against a number.
+COMPARED = {"lt": lambda x, c: x < c, "gt": lambda x, c: x > c, "eq": lambda x, c: x == c, "ne": lambda x, c: x != c, "le": lambda x, c: x <= c, "ge": lambda x, c: x >= c}
+
+
+def paired(a: Column, b: Column, kind: str) -> Column:
+    """Elements of two arrays taken together; the longer one's rest gives nulls."""
+    return F.zip_with(a, b, PAIRED[kind])
+
+
+def paired_rows(a: Column, b: Column, kind: str) -> Column:
+    """The same for arrays of arrays."""
+    return F.zip_with(a, b, lambda x, y: paired(x, y, kind))
+
+
+def pairs_folded(pairs: Column, kind: str) -> Column:
+    """One number from each pair of an array of two-element arrays."""
+    return F.transform(pairs, lambda p: PAIRED[kind](p[0], p[1]))
+
+
+def compared(v: Column, c: float, kind: str) -> Column:
+    return F.transform(v, lambda x: COMPARED[kind](x, F.lit(c)).cast("int"))
+
+
+def truth(v: Column, negated: bool = False) -> Column:
+    """1 for elements of 1 and more, else 0; or the reverse."""
+    return F.transform(v, lambda x: ((x < 1.0) if negated else (x >= 1.0)).cast("int"))
+
+
+def within(v: Column, low: float, high: float) -> Column:
+    """1 for elements from `low` to below `high`, else 0."""
+    return F.transform(v, lambda x: ((x >= low) & (x < high)).cast("int"))
+
+
+def zeroed_outside(v: Column, low: float, high: float) -> Column:
+    """Elements from `low` to below `high`, zero for the others."""
+    return F.transform(v, lambda x: F.when((x >= low) & (x < high), x).otherwise(F.lit(0.0)))
+
+
+def scaled(v: Column, by: float) -> Column:
+    return F.transform(v, lambda x: x * by)
+
+
+def shifted(v: Column, by: float) -> Column:
+    return F.transform(v, lambda x: x + by)
+
+
+def linear_combination(a: Column, b: Column, wa: float, wb: float) -> Column:
+    return F.zip_with(a, b, lambda x, y: wa * x + wb * y)
+
+
+def deviation(v: Column, sample: bool = False) -> Column:
+    return F.sqrt(variance(v, sample))
+
+
+def standard_error(v: Column) -> Column:
+    return F.sqrt(variance(v, True) / F.size(v))
+
+
+def squared_magnitude(v: Column) -> Column:
+    return total(F.transform(v, lambda x: x * x))
+
+
+def squared_deviations(v: Column, c: Column | None = None) -> Column:
+    """Squared distances of the elements from c, or from their mean."""
+    m = mean(v) if c is None else c
+    return F.transform(v, lambda x: (x - m) * (x - m))
+
+
+def covariance(a: Column, b: Column, sample: bool = False) -> Column:
+    return dot(centred(a), centred(b)) / (F.size(a) - (1 if sample else 0))
+
+
+def unit_sum(v: Column) -> Column:
+    """Divided by the sum, so that it is one."""
+    t = total(v)
+    return F.transform(v, lambda x: x / t)
+
+
+def flattened(v: Column) -> Column:
+    return F.flatten(v)
+
+
+def cut(v: Column, n: int) -> Column:
+    """An array in pieces of n elements, the last one shorter."""
+    return F.transform(F.sequence(F.lit(0), F.ceil(F.size(v) / n).cast("int") - 1), lambda k: F.slice(v, k * n + 1, F.lit(n)))
+
+
+def per_row(rows: Column, kind: str) -> Column:
+    """One number for each array of an array: mean, variance or deviation."""
+    one = {"mean": mean, "var": variance, "std": deviation}[kind]
+    return F.transform(rows, lambda r: one(r))  # noqa: PLW0108  a function of two arguments would get the place too
+
+
+def divided_up(a: Column, b: Column) -> Column:
+    """a over b, rounded up to a whole number."""
+    return F.ceil(a / b).cast("long")
+
+
+def all_differences(v: Column, sums: bool = False) -> Column:
+    """Element less element, or plus it, for all pairs: an array of rows, one for each element taken off (or added)."""
+    return F.transform(v, lambda y: F.transform(v, lambda x: x + y if sums else x - y))
+
+
+def time_distances(df: DataFrame, t: str, v: str, queries: DataFrame, measure: str = "rms") -> DataFrame:
+    """(query, t, value): root mean squared difference, or product sum, of a stated set of times' vectors with all others'.
+
+    Elements meet by their place in an equi-join, so partial sums are added up before the shuffle by pairs."""
+    long = lambda d, n, x: d.select(F.col(t).alias(n), F.posexplode(v).alias("_k", x))
+    both = long(df, "t", "_x").join(long(queries, "query", "_y"), "_k")
+    term = F.pow(F.col("_x") - F.col("_y"), 2) if measure == "rms" else F.col("_x") * F.col("_y")
+    made = both.groupBy("query", "t").agg(F.sum(term).alias("_s"), F.count(F.lit(1)).alias("_n"))
+    return made.select("query", "t", (F.sqrt(F.col("_s") / F.col("_n")) if measure == "rms" else F.col("_s")).alias("value"))

@@ -160,10 +160,8 @@ def savgol_taps(half: int, degree: int, derivative: int = 0) -> list[float]:
     return (rows[derivative] * math.factorial(derivative)).tolist()
 
 
-def ema(df: DataFrame, x: str, by: str, i: str, keep: float, to: str, reach: int = 64) -> DataFrame:
-    """Exponential moving average started at the first sample, weights under keep**reach left out."""
-    w = _order(by, i)
-    values = F.collect_list(x).over(w.rowsBetween(-reach, 0))
-    first = F.col("_v")[0]
-    out = F.aggregate(F.slice("_v", F.lit(2), F.lit(reach)), first, lambda s, v: keep * s + (1 - keep) * v)
-    return df.withColumn("_v", values).withColumn(to, out).drop("_v")
+def ema(df: DataFrame, x: str, by: str, i: str, keep: float, to: str) -> DataFrame:
+    """Exponential moving average started at the first sample, carried along the whole series."""
+    from .scan import exponential_average
+
+    return exponential_average(df, by, i, x, keep, to, [c for c in df.columns if c not in (by, i)]).select(*df.columns, to)

@@ -1,4 +1,4 @@
-"""Join rewrites: band join, stencil join, spine join, replicates."""
+"""Join rewrites: band join, stencil join, spine join, null-safe join, replicates."""
 
 from __future__ import annotations
 
@@ -38,6 +38,17 @@ def spine(counts: DataFrame, key: str, low: int, high: int, fill: dict[str, floa
     return every.join(counts, key, "left").fillna(fill)
 
 
+def same_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on columns of the same names where nulls equal one another; the left's columns stay. The sides may
+    descend from the same table."""
+    names = {c: f"_same{k}" for k, c in enumerate(on)}
+    right = right.withColumnsRenamed(names)
+    met = F.lit(True)
+    for c in on:
+        met = met & F.col(c).eqNullSafe(F.col(names[c]))
+    return left.join(right, met, how).drop(*names.values())
+
+
 def replicates(df: DataFrame, n: int, name: str = "replicate") -> DataFrame:
     """Each row once for each of n replicates."""
     return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))

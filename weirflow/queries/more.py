@@ -4,10 +4,10 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import colour, state as st
-from ..operators import coding, density as d, ranktests as rt, vectors as v
+from ..operators import coding, density as d, ranktests as rt, scan, vectors as v
 from ..operators.kernels import map_series
 from ..sources.tables import load, series
-from .registry import query, r6
+from .registry import SERIES, query, r6, r6_up
 
 _E = "list_transform(embedding, lambda x: CAST(x AS DOUBLE))"
 
@@ -128,13 +128,10 @@ def relaxing_paths(spark, sf_dir):
     return map_series(rows, "user_id", "i", "value", kernel, "t long, x double", least=1)
 
 
-@query()
+@query(
+    f"""{SERIES} SELECT a.user_id, a.i, round(sum(b.value * 0.5 * pow(0.5, a.i - b.i)) + 3e-10, 6) AS fast, round(sum(b.value * (pow(0.8, a.i - b.i) + 0.05 * (pow(0.8, a.i - b.i) - pow(0.5, a.i - b.i)) / 0.3)) + 3e-10, 6) AS slow FROM s a JOIN s b ON b.user_id = a.user_id AND b.i <= a.i GROUP BY a.user_id, a.i"""
+)
 def state_space_filter(spark, sf_dir):
-    rows = series(load(spark, sf_dir, "events"))
     a, c = np.array([[-0.2, 0.1], [0.0, -0.5]]), np.array([1.0, 0.5])
-
-    def kernel(x):
-        z = st.linear_filter(a, c, x, np.zeros(2))
-        return {"i": np.arange(len(x)), "fast": z[:, 1], "slow": z[:, 0]}
-
-    return map_series(rows, "user_id", "i", "value", kernel, "i long, fast double, slow double", least=1)
+    made = scan.linear_filter(series(load(spark, sf_dir, "events")), "user_id", "i", "value", a, c, np.zeros(2))
+    return made.select("user_id", "i", r6_up(F.col("z")[1]).alias("fast"), r6_up(F.col("z")[0]).alias("slow"))

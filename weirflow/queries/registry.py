@@ -28,3 +28,9 @@ def query(sql: str | None = None):
 def r6(c: Column | str) -> Column:
     """Rounded to what two engines agree on; adding 0 drops the sign of zero."""
     return F.round(F.col(c) if isinstance(c, str) else c, 6) + F.lit(0.0)
+
+
+def r6_up(c: Column | str) -> Column:
+    """As r6 for values that may have a 5 as their seventh and last decimal: a shift far below that digit, and far above
+    what two engines differ by, has them all rounded up."""
+    return r6((F.col(c) if isinstance(c, str) else c) + F.lit(3e-10))

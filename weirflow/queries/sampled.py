@@ -109,6 +109,6 @@ def autocorrelation_lags(spark, sf_dir):
     return w.autocorrelation(samples(spark, sf_dir), X, BY, I, 5).select(BY, "lag", r6("r").alias("r"))
 
 
-@query()
+@query(f"{SERIES} SELECT a.event_id, round(sum(b.value * CASE WHEN b.i = 0 THEN pow(0.8, a.i) ELSE 0.2 * pow(0.8, a.i - b.i) END), 6) AS y FROM s a JOIN s b ON b.user_id = a.user_id AND b.i <= a.i GROUP BY a.event_id")
 def exponential_average(spark, sf_dir):
     return w.ema(samples(spark, sf_dir), X, BY, I, 0.8, "y").select("event_id", r6("y").alias("y"))

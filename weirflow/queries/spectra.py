@@ -5,10 +5,11 @@ from pyspark.sql import functions as F
 
 from ..functions import spectral as sp, state as st
 from ..operators.events import snippets
+from ..operators import scan
 from ..operators.kernels import map_series
 from ..operators.welch import averaged
 from ..sources.tables import load, micros, series
-from .registry import query, r6
+from .registry import SERIES, query, r6
 
 
 def _samples(spark, sf_dir):
@@ -103,25 +104,36 @@ def _counts(spark, sf_dir):
     return _samples(spark, sf_dir).withColumn("n", F.floor(F.col("value") / 20))
 
 
-@query()
-def viterbi_states(spark, sf_dir):
-    move, start, rates = np.array([[0.9, 0.1], [0.2, 0.8]]), np.array([0.5, 0.5]), np.array([0.5, 4.0])
+#: Two states of rates 0.5 and 4: logs of moves and of Poisson likelihoods, for SQL.
+_N = f"WITH RECURSIVE {SERIES.removeprefix('WITH ')}, n AS (SELECT user_id, i, floor(value / 20) AS n, floor(value / 20) * ln(0.5::DOUBLE) - 0.5 AS a, floor(value / 20) * ln(4.0::DOUBLE) - 4 AS b FROM s)"
+MOVE, START, RATES = np.array([[0.9, 0.1], [0.2, 0.8]]), np.array([0.5, 0.5]), np.array([0.5, 4.0])
 
-    def kernel(x):
-        return _index(x, state=st.viterbi(st.poisson_loglike(x, rates), move, start))
 
-    return map_series(_counts(spark, sf_dir), "user_id", "i", "n", kernel, "i long, state long", least=1)
+def _loglike(x):
+    return st.poisson_loglike(x, RATES)
 
 
-@query()
-def forward_backward(spark, sf_dir):
-    move, start, rates = np.array([[0.9, 0.1], [0.2, 0.8]]), np.array([0.5, 0.5]), np.array([0.5, 4.0])
+@query(
+    f"""{_N}, f AS (SELECT user_id, i, a AS va, b AS vb, 0 AS ba, 0 AS bb FROM n WHERE i = 0 UNION ALL
+    SELECT n.user_id, n.i, greatest(va + ln(0.9::DOUBLE), vb + ln(0.2::DOUBLE)) + a, greatest(va + ln(0.1::DOUBLE), vb + ln(0.8::DOUBLE)) + b, (vb + ln(0.2::DOUBLE) > va + ln(0.9::DOUBLE))::INT, (vb + ln(0.8::DOUBLE) > va + ln(0.1::DOUBLE))::INT FROM f JOIN n ON n.user_id = f.user_id AND n.i = f.i + 1),
+    p AS (SELECT user_id, i, (vb > va)::INT AS state, CASE WHEN vb > va THEN bb ELSE ba END AS before FROM f WHERE i = (SELECT max(i) FROM n WHERE n.user_id = f.user_id) UNION ALL
+    SELECT f.user_id, f.i, p.before, CASE WHEN p.before = 1 THEN bb ELSE ba END FROM p JOIN f ON f.user_id = p.user_id AND f.i = p.i - 1) SELECT user_id, i, state FROM p"""
+)
+def viterbi_states(spark, sf_dir):
+    return scan.viterbi(_counts(spark, sf_dir), "user_id", "i", "n", _loglike, MOVE, START)
 
-    def kernel(x):
-        posterior, like = st.forward_backward(st.poisson_loglike(x, rates), move, start)
-        return _index(x, busy=posterior[:, 1], loglike=np.full(len(x), like))
 
-    return map_series(_counts(spark, sf_dir), "user_id", "i", "n", kernel, "i long, busy double, loglike double", least=1)
+@query(
+    f"""{_N}, f AS (SELECT user_id, i, exp(a) / (exp(a) + exp(b)) AS fa, ln((exp(a) + exp(b)) / 2) AS gain FROM n WHERE i = 0 UNION ALL
+    SELECT user_id, i, qa / (qa + qb), ln(qa + qb) FROM (SELECT n.user_id, n.i, (0.9 * fa + 0.2 * (1 - fa)) * exp(a) AS qa, (0.1 * fa + 0.8 * (1 - fa)) * exp(b) AS qb FROM f JOIN n ON n.user_id = f.user_id AND n.i = f.i + 1)),
+    k AS (SELECT user_id, i, 0.5::DOUBLE AS ba FROM n WHERE i = (SELECT max(i) FROM n m WHERE m.user_id = n.user_id) UNION ALL
+    SELECT user_id, i, qa / (qa + qb) FROM (SELECT n.user_id, n.i - 1 AS i, 0.9 * ba * exp(a) + 0.1 * (1 - ba) * exp(b) AS qa, 0.2 * ba * exp(a) + 0.8 * (1 - ba) * exp(b) AS qb FROM k JOIN n ON n.user_id = k.user_id AND n.i = k.i AND n.i > 0))
+    SELECT user_id, i, round((1 - fa) * (1 - ba) / (fa * ba + (1 - fa) * (1 - ba)), 6) + 0.0 AS busy, round(sum(gain) OVER (PARTITION BY user_id), 6) AS loglike FROM f JOIN k USING (user_id, i)"""
+)
+def forward_backward(spark, sf_dir):
+    made = scan.posteriors(_counts(spark, sf_dir), "user_id", "i", "n", _loglike, MOVE, START)
+    whole = made.groupBy("user_id").agg(F.sum("gain").alias("loglike"))
+    return made.join(whole, "user_id").select("user_id", "i", r6(F.col("posterior")[1]).alias("busy"), r6("loglike").alias("loglike"))
 
 
 @query()
@@ -133,12 +145,28 @@ def poisson_chain_fit(spark, sf_dir):
     return map_series(_counts(spark, sf_dir), "user_id", "i", "n", kernel, "low double, high double, stay double", least=20)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {SERIES.removeprefix('WITH ')}, f AS (SELECT user_id, i, value AS pm, 400.0::DOUBLE AS pc, value AS fm, 200.0::DOUBLE AS fc FROM s WHERE i = 0 UNION ALL
+    SELECT s.user_id, s.i, fm, fc + 4, fm + (fc + 4) / (fc + 404) * (value - fm), (fc + 4) * 400 / (fc + 404) FROM f JOIN s ON s.user_id = f.user_id AND s.i = f.i + 1),
+    b AS (SELECT user_id, i, fm AS m, fc AS c, pm, pc FROM f WHERE i = (SELECT max(i) FROM s WHERE s.user_id = f.user_id) UNION ALL
+    SELECT f.user_id, f.i, f.fm + f.fc / b.pc * (b.m - b.pm), f.fc + pow(f.fc / b.pc, 2) * (b.c - b.pc), f.pm, f.pc FROM b JOIN f ON f.user_id = b.user_id AND f.i = b.i - 1)
+    SELECT user_id, i, round(m, 6) AS mean, round(c, 6) AS var FROM b"""
+)
 def kalman_smoothed(spark, sf_dir):
     one = np.eye(1)
+    made = scan.kalman(_samples(spark, sf_dir), "user_id", "i", ["value"], one, one, 4 * one, 400 * one, c0=400 * one)
+    return made.select("user_id", "i", r6(F.col("mean")[0]).alias("mean"), r6(F.col("cov")[0]).alias("var"))
 
-    def kernel(x):
-        m, c = st.kalman_smooth(x[:, None], one, one, 4 * one, 400 * one, np.array([x[0]]), 400 * one)
-        return _index(x, mean=m[:, 0], var=c[:, 0, 0])
 
-    return map_series(_samples(spark, sf_dir), "user_id", "i", "value", kernel, "i long, mean double, var double", least=1)
+@query()
+def hidden_rates(spark, sf_dir):
+    """Hidden log rates of counts that drift, by assumed densities forwards and backwards."""
+    return scan.density_smoother(_counts(spark, sf_dir), "user_id", "i", "n", scan.Walk(0.98, 0.05, 0.7, 0.7, 1.0))
+
+
+@query()
+def hidden_trend(spark, sf_dir):
+    """A level and its slope behind the counts, by peaks and curvatures."""
+    move = np.array([[1.0, 1.0], [0.0, 1.0]])
+    made = scan.laplace_smoother(_counts(spark, sf_dir), "user_id", "i", "n", move, np.diag([0.01, 0.001]), np.array([1.0, 0.0]), np.array([0.7, 0.0]), np.diag([1.0, 0.01]))
+    return made.select("user_id", "i", F.col("mean")[0].alias("level"), F.col("mean")[1].alias("slope"))
