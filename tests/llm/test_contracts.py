@@ -241,3 +241,31 @@ def test_token_files(docs, tmp_path):
         assert pq.ParquetFile(files[0]).metadata.row_group(0).column(0).has_offset_index
         ids = [i for f in files for i in pq.read_table(f, columns=["doc_id"]).column(0).to_pylist()]
         assert ids == sorted(ids)
+
+
+def test_longest_word_of_any_script():
+    """Code points count, not bytes, and not only among a few words."""
+    assert quality_rules.longest_word([f"日本語文字{k}".encode() for k in "一二三四五六七八九"] + [b"fourteenletter"]) == 14
+    rng = random.Random(4)
+    words = {"".join(rng.choices("aé日😀", k=rng.randint(1, 12))) for _ in range(300)}
+    assert quality_rules.longest_word(w.encode() for w in words) == max(map(len, words))
+    assert quality_rules.longest_word([]) == 0
+
+
+def test_phrases_in_longer_ones_do_not_score(spark):
+    texts = ["Lesser General Public License", "the affero general public license", "general public license, lesser general public license", "lesser general public license general public license", "general public license"]
+    got = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.score for r in got] == [0.6, 0.3, 0.4, 0.4, 0.4] and all(r.base_labels == "gpl" and r.n_base >= 1 for r in got)
+    assert [r.labels for r in got][:2] == ["gpl,lgpl", "agpl,gpl"]
+
+
+def test_only_own_tables_are_deleted(spark, tmp_path):
+    from weirflow.llm import common
+
+    kept = str(tmp_path / "kept")
+    spark.range(3).write.parquet(kept)
+    with pytest.raises(ValueError, match="no table"):
+        common.drop_table(spark.read.parquet(kept))
+    own = common.materialize(spark.range(3), "test")
+    common.drop_table(own)
+    assert spark.read.parquet(kept).count() == 3

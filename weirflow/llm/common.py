@@ -31,6 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
     Where it is unset (local tests) a temporary folder of this machine is set for the session."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="weirflow-")
         spark.conf.set("spark.checkpoint.dir", at)
         spark.sparkContext.setCheckpointDir(at)
@@ -63,9 +65,11 @@ def unused(df: DataFrame, name: str) -> str:
 
 
 def drop_table(df: DataFrame) -> None:
-    """Delete the files of a table made by `materialize` that nothing reads any more."""
+    """Delete the files of a table made by `materialize` that nothing reads any more; other tables stay."""
     jvm = df.sparkSession._jvm
     for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if not parent.rsplit("/", 1)[-1].startswith("weirflow-"):
+            raise ValueError(f"{parent} is no table of this library")
         path = jvm.org.apache.hadoop.fs.Path(parent)
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 

@@ -152,12 +152,15 @@ def _kernel():
             words = [w for w in words if w]
             line = f" {b' '.join(words).decode()} "
             at, seen, starts, base, labels, score = 0, 0, [], set(), set(), []
-            hits = sorted((end - len(key) + 1, key, label) for end, (key, label) in phrases.iter(line))
-            for begin, key, label in hits:
+            hits = sorted((end - len(key) + 1, -end, key, label) for end, (key, label) in phrases.iter(line))
+            reach = 0
+            for begin, end, key, label in hits:
                 seen += line.count(" ", at, begin)  # spaces before the phrase's own are words before it
                 at = begin
                 labels.add(label)
-                score.append(FREEDOM[label])
+                if -end > reach:  # else a longer phrase holds this one and says what it means
+                    score.append(FREEDOM[label])
+                    reach = -end
                 if key.strip() in BASE_PHRASES:
                     starts.append(seen)
                     base.add(label)
@@ -179,7 +182,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
     Returns doc_id, n_words, n_base, first_word, last_word (word places of the base phrases, null where
     there is none), base_labels, labels, score. `score` is the freedom of the strictest licence found: a
-    phrase counts by its label, a tagged expression by its value; 0 where none is found. A null or empty
+    phrase counts by its label unless a longer one holds it, a tagged expression by its value; 0 where none is found. A null or empty
     text has no words. A malformed expression is passed over. Every row, repeated or not, gets its own
     result; the pass is narrow, with no shuffle, and a text's words are all that it holds."""
     return map_texts(docs, ("doc_id", "text"), _kernel(), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")

@@ -7,6 +7,7 @@ emitted as ordered Spark conditional expressions, so applying it stays in genera
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -55,6 +56,16 @@ def _repeated(ids: np.ndarray, kinds: int) -> int:
     return int(covered.sum())
 
 
+def longest_word(words: Iterable[bytes]) -> int:
+    """Most code points of a word. None has more than bytes, so the search ends at the first that has no more bytes."""
+    best = 0
+    for w in sorted(words, key=len, reverse=True):
+        if len(w) <= best:
+            break
+        best = max(best, len(w.decode()))
+    return best
+
+
 def text_counts(raw: bytes) -> tuple[int, ...]:
     """The values of COUNTS for a whole text."""
     words, ids = raw.split(), {}
@@ -62,8 +73,7 @@ def text_counts(raw: bytes) -> tuple[int, ...]:
     bare = raw.translate(None, _SPACE)
     lines = [x for x in raw.split(b"\n") if x.strip()]
     less = lambda drop: len(bare) - len(bare.translate(None, drop))
-    longest = max((len(w.decode()) for w in sorted(ids, key=len)[-8:]), default=0)
-    return (len(words), len(bare.decode()), less(_SYMBOLS), len(lines) - len(set(lines)), _repeated(order, len(ids)), len(ids), less(_CAPITALS), less(_MARKS), len(lines), longest)
+    return (len(words), len(bare.decode()), less(_SYMBOLS), len(lines) - len(set(lines)), _repeated(order, len(ids)), len(ids), less(_CAPITALS), less(_MARKS), len(lines), longest_word(ids))
 
 
 def _kernel(batch: pa.RecordBatch) -> dict:
