@@ -47,11 +47,11 @@ def hulls(points: DataFrame, by: str, x: str = "x", y: str = "y") -> DataFrame:
                     sizes[s] = len(held[s][0])
         for s, found in held.items():
             p = corners(np.concatenate(found))
-            yield pd.DataFrame({"s": [s] * len(p), "x": p[:, 0], "y": p[:, 1]})
+            yield pd.DataFrame({"s": pd.Series([s] * len(p), dtype=object), "x": p[:, 0], "y": p[:, 1]})
 
     def whole(group: pd.DataFrame) -> pd.DataFrame:
         p = corners(group[["x", "y"]].to_numpy())
-        return pd.DataFrame({"s": [group["s"].iloc[0]] * len(p), "i": np.arange(len(p)), "x": p[:, 0], "y": p[:, 1]})
+        return pd.DataFrame({"s": pd.Series([group["s"].iloc[0]] * len(p), dtype=object), "i": np.arange(len(p)), "x": p[:, 0], "y": p[:, 1]})
 
     made = rows.mapInPandas(parts, f"s {kind}, x double, y double").groupBy("s").applyInPandas(whole, f"s {kind}, i long, x double, y double")
     return made.withColumnRenamed("s", by)

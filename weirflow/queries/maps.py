@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import cosine, hull, lagmodel, phasemap
+from ..operators import cosine, hull, lagmodel, phasemap, triangulation as tr
 from ..sources.tables import load, series
 from .registry import SERIES, query, r6
 
@@ -123,6 +123,28 @@ def resampled_hulls(spark, sf_dir):
     return hull.resampled(hull.hulls(points, "label"), "label", 36, 20.0)
 
 
+_D3 = """WITH p AS (SELECT label, vec_id AS k, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings),
+    t AS (SELECT a.label, a.k AS a, b.k AS b, c.k AS c, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS wy, c.x AS cx, c.y AS cy, (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) AS o FROM p a JOIN p b ON b.label = a.label AND b.k > a.k JOIN p c ON c.label = a.label AND c.k > b.k),
+    f AS (SELECT label, a, b, c FROM t WHERE o <> 0 AND NOT EXISTS (SELECT 1 FROM p d WHERE d.label = t.label AND d.k <> t.a AND d.k <> t.b AND d.k <> t.c AND sign(o) * (
+        (pow(ax - d.x, 2) + pow(ay - d.y, 2)) * ((bx - d.x) * (cy - d.y) - (cx - d.x) * (wy - d.y)) - (pow(bx - d.x, 2) + pow(wy - d.y, 2)) * ((ax - d.x) * (cy - d.y) - (cx - d.x) * (ay - d.y)) + (pow(cx - d.x, 2) + pow(cy - d.y, 2)) * ((ax - d.x) * (wy - d.y) - (bx - d.x) * (ay - d.y))) > 0))"""
+
+
+def _triangles(spark, sf_dir):
+    points = load(spark, sf_dir, "embeddings").select("label", "vec_id", F.col("embedding")[0].alias("x"), F.col("embedding")[1].alias("y"))
+    return tr.delaunay(points, "label", "vec_id", per_tile=16)
+
+
+@query(f"{_D3} SELECT * FROM f")
+def delaunay_triangles(spark, sf_dir):
+    """Triangles of each label's points whose circle holds no other point."""
+    return _triangles(spark, sf_dir)
+
+
+@query(f"{_D3}, e AS (SELECT label, a AS p, b AS q FROM f UNION ALL SELECT label, b, c FROM f UNION ALL SELECT label, a, c FROM f) SELECT label, p, q, count(*) AS n FROM e GROUP BY label, p, q")
+def delaunay_edges(spark, sf_dir):
+    return tr.edges(_triangles(spark, sf_dir), "label")
+
+
 AT = lagmodel.Layout("user_id", "channel", "i", "value")
 
 
