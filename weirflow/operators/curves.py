@@ -67,7 +67,8 @@ def replicate_grams(df: DataFrame, basis: Sequence[Column], y: str, key: str, n:
     Sums are added up before the shuffle: one row for each replicate and task."""
     rows = df.select(*by, F.col(y).cast("double").alias("_y"), F.col(key).alias("_key"), *(b.alias(f"_b{i}") for i, b in enumerate(basis))).dropna(subset=["_y", *(f"_b{i}" for i in range(len(basis)))])
     rows = replicates(rows, n + 1).withColumn("replicate", F.col("replicate") - 1)
-    w = F.when(F.col("replicate") < 0, F.lit(1)).otherwise(unit_poisson(uniform(seed, "_key", "replicate"))).cast("double")
+    rows = rows.withColumn("_u", uniform(seed, "_key", "replicate"))
+    w = F.when(F.col("replicate") < 0, F.lit(1)).otherwise(unit_poisson(F.col("_u"))).cast("double")
     rows = rows.withColumn("_w", w).where("_w > 0")
     m = range(len(basis))
     cells = [F.sum(F.col("_w") * F.col(f"_b{i}") * F.col(f"_b{j}")).alias(f"g{i}_{j}") for i in m for j in m if i <= j]

@@ -50,10 +50,11 @@ def unit_poisson(u: Column) -> Column:
     return out
 
 
-def weighted_quantiles(df: DataFrame, x: str, n: int, probs: Sequence[float], arms: Mapping[str, Column], by: Sequence[str] = ()) -> DataFrame:
+def weighted_quantiles(df: DataFrame, x: str, n: int, probs: Sequence[float], arms: Mapping[str, Column], by: Sequence[str] = (), draw: Column | None = None) -> DataFrame:
     """(by, replicate, arm, p, value): quantiles of `n` weighted replicates of each group.
 
-    `arms` are whole-number weights as columns of `df` and `replicate`; an arm is a sample of its own. Quantiles
+    `arms` are whole-number weights as columns of `df`, `replicate` and `_u`, which is `draw` worked out once for a row
+    and replicate; an arm is a sample of its own. Quantiles
     lie between ranks as numpy's do: at (W - 1) p of the W values that the weights stand for. Null and NaN values
     are left out; replicates of no weight have no row."""
     rows = df.where(F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double"))).withColumn("_x", F.col(x).cast("double"))
@@ -64,7 +65,7 @@ def weighted_quantiles(df: DataFrame, x: str, n: int, probs: Sequence[float], ar
     weights = [w.cast("long").alias(f"_w{k}") for k, w in enumerate(arms.values())]
     listed = lambda: F.explode(F.array(*(F.struct(F.lit(a).alias("arm"), F.col(f"_w{k}").alias("w")) for k, a in enumerate(arms))))
     sums = [F.sum(f"_w{k}").alias(f"_w{k}") for k in range(len(arms))]
-    drawn = lambda r: replicates(r, n).select("*", *weights)
+    drawn = lambda r: replicates(r, n).withColumn("_u", F.lit(0.0) if draw is None else draw).select("*", *weights)
 
     bins = drawn(rows).groupBy(*keys, "replicate", "_bin").agg(*sums).select(*keys, "replicate", "_bin", listed().alias("a")).select(*keys, "replicate", "_bin", "a.arm", "a.w")
     group = Window.partitionBy(*keys, "replicate", "arm")
@@ -101,7 +102,7 @@ def exact_quantiles(df: DataFrame, x: str, probs: Sequence[float], by: Sequence[
 def bootstrap_quantiles(df: DataFrame, x: str, key: str, n: int, probs: Sequence[float] = (0.5,), by: Sequence[str] = (), seed: int = 0) -> DataFrame:
     """(by, replicate, p, value): quantiles of `n` Poisson bootstrap samples; `key` tells rows apart."""
     rows = df.select(*by, x, F.col(key).alias("_key"))
-    return weighted_quantiles(rows, x, n, probs, {"": unit_poisson(uniform(seed, "_key", "replicate"))}, by).drop("arm")
+    return weighted_quantiles(rows, x, n, probs, {"": unit_poisson(F.col("_u"))}, by, uniform(seed, "_key", "replicate")).drop("arm")
 
 
 def bootstrap_statistic(df: DataFrame, key: str, n: int, statistic: Callable[[Column], Column], by: Sequence[str] = (), seed: int = 0) -> DataFrame:
@@ -109,7 +110,7 @@ def bootstrap_statistic(df: DataFrame, key: str, n: int, statistic: Callable[[Co
 
     `statistic` gets the weight column and returns an aggregate; sums are added up before the shuffle."""
     rows = replicates(df.withColumn("_key", F.col(key)), n)
-    rows = rows.withColumn("_w", unit_poisson(uniform(seed, "_key", "replicate")).cast("double"))
+    rows = rows.withColumn("_u", uniform(seed, "_key", "replicate")).withColumn("_w", unit_poisson(F.col("_u")).cast("double"))
     return rows.groupBy(*by, "replicate").agg(statistic(F.col("_w")).alias("value"))
 
 
@@ -134,8 +135,8 @@ def null_quantile_test(df: DataFrame, x: str, first: Column, key: str, n: int =
     df, keys = _keyed(df, by)
     rows = _two_samples(df, x, first, key, keys)
     seen = _observed(rows, p, keys)
-    weight = F.when(F.col("_a"), F.lit(0)).otherwise(poisson(uniform(seed, "_key", "replicate"), F.col("_na") / F.col("_nb")))
-    drawn = weighted_quantiles(rows, "x", n, [p], {"null": weight}, keys).select(*keys, "value")
+    weight = F.when(F.col("_a"), F.lit(0)).otherwise(poisson(F.col("_u"), F.col("_na") / F.col("_nb")))
+    drawn = weighted_quantiles(rows, "x", n, [p], {"null": weight}, keys, uniform(seed, "_key", "replicate")).select(*keys, "value")
     further = F.abs(F.col("value") - F.col("second")) > F.abs(F.col("first") - F.col("second"))
     return same_join(drawn, seen, keys).groupBy(*keys, "first", "second").agg(F.avg(further.cast("double")).alias("p_value")).select(*by, "first", "second", "p_value")
 
@@ -148,9 +149,9 @@ def permuted_quantile_test(df: DataFrame, x: str, first: Column, key: str, n: in
     df, keys = _keyed(df, by)
     rows = _two_samples(df, x, first, key, keys)
     seen = _observed(rows, p, keys).select(*keys, F.abs(F.col("first") - F.col("second")).alias("delta"))
-    u, all_ = uniform(seed, "_key", "replicate"), F.col("_na") + F.col("_nb")
+    u, all_ = F.col("_u"), F.col("_na") + F.col("_nb")
     a, b = (F.lit(s) for s in share) if share else (F.col("_na") / all_, F.col("_nb") / all_)
-    drawn = weighted_quantiles(rows, "x", n, [p], {"a": (u < a).cast("int"), "b": ((u >= a) & (u < a + b)).cast("int") if share else (u >= a).cast("int")}, keys)
+    drawn = weighted_quantiles(rows, "x", n, [p], {"a": (u < a).cast("int"), "b": ((u >= a) & (u < a + b)).cast("int") if share else (u >= a).cast("int")}, keys, uniform(seed, "_key", "replicate"))
     side = lambda s: F.max(F.when(F.col("arm") == s, F.col("value")))
     drawn = drawn.groupBy(*keys, "replicate").agg(F.abs(side("a") - side("b")).alias("drawn"))
     further = F.sum((F.col("drawn") > F.col("delta")).cast("int"))
