@@ -101,9 +101,9 @@ def nearest(points: DataFrame, key: str, radius: float, x: str = "x", y: str = "
     return rows.groupBy("a").agg(F.min(F.struct(d.alias("d"), F.col("b"))).alias("m")).select("a", F.col("m.b").alias("b"), F.sqrt("m.d").alias("distance"))
 
 
-def mutual_pairs(left: DataFrame, right: DataFrame, pairs: DataFrame, rounds: int = 20) -> DataFrame:
+def mutual_pairs(left: DataFrame, right: DataFrame, pairs: DataFrame, rounds: int = 1000) -> DataFrame:
     """Matching of (a, b, distance) candidate pairs: those nearest to one another, again and again without
-    the ones already matched."""
+    the ones already matched. Each round matches at least the nearest pair left; pairs left open after `rounds` raise."""
     matched = None
     open_ = pairs.select("a", "b", "distance")
     for _ in range(rounds):
@@ -113,6 +113,9 @@ def mutual_pairs(left: DataFrame, right: DataFrame, pairs: DataFrame, rounds: in
             break
         matched = best if matched is None else matched.unionByName(best)
         open_ = open_.join(best.select("a"), "a", "left_anti").join(best.select("b"), "b", "left_anti").checkpoint()
+    else:
+        if not open_.isEmpty():
+            raise RuntimeError(f"pairs are left open after {rounds} rounds")
     return pairs.select("a", "b", "distance").limit(0) if matched is None else matched
 
 
