@@ -269,3 +269,12 @@ def test_only_own_tables_are_deleted(spark, tmp_path):
     own = common.materialize(spark.range(3), "test")
     common.drop_table(own)
     assert spark.read.parquet(kept).count() == 3
+
+
+def test_secret_counts_by_kind(spark, odd, tmp_path):
+    """The query's own columns, kinds of unlike numbers among them."""
+    rows = odd.select("doc_id", "text").unionByName(spark.createDataFrame([(20, "token=abcdef AKIA" + "B" * 16 + " secret: xyzxyz AKIA" + "C" * 16 + " " + "0a" * 12 + " AKIA" + "D" * 16)], "doc_id long, text string"))
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    got = [tuple(r) for r in queries.op2_secret_scan(spark, str(tmp_path)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256").collect()]
+    assert sorted(map(str, got)) == sorted(str((r.doc_id, *brute.secrets(r.text)[:4])) for r in rows.collect())
+    assert (20, 2, 3, 1) in {r[:4] for r in got}
