@@ -33,6 +33,11 @@ def ndtri(p: Column) -> Column:
     return F.when((p > 0) & (p < 0.02425), tail(low)).when((p >= 0.02425) & (p <= 0.97575), middle).when((p > 0.97575) & (p < 1), -tail(high))
 
 
+def quotient(a: Column, b: Column) -> Column:
+    """a / b as floating point has it: infinite over a zero (taken as positive), NaN for zero over zero, null for a null."""
+    return F.coalesce(a / F.nullif(b, F.lit(0.0)), F.when(b == 0, a * F.lit(float("inf"))))
+
+
 def slog(x: Column) -> Column:
     """Logarithm with its argument kept above the smallest safe value."""
     return F.log(F.greatest(x, F.lit(TINY)))

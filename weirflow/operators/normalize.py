@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.scalar import ndtri
+from ..functions.scalar import ndtri, quotient
 
 EPS = 1e-30
 
@@ -41,20 +41,20 @@ def unitscale(x: str, by) -> Column:
 def absunitscale(x: str, by, minor: bool = False) -> Column:
     """Divided by the largest absolute value; with `minor` by the smaller of the two extremes."""
     low, high = F.abs(F.min(x).over(_w(by))), F.abs(F.max(x).over(_w(by)))
-    return F.col(x) / (F.least(low, high) if minor else F.greatest(low, high))
+    return quotient(F.col(x), F.least(low, high) if minor else F.greatest(low, high))
 
 
 def unitsum(x: str, by) -> Column:
-    return F.col(x) / F.sum(x).over(_w(by))
+    return quotient(F.col(x), F.sum(x).over(_w(by)))
 
 
 def unitlength(x: str, by) -> Column:
-    return F.col(x) / F.sqrt(F.sum(F.col(x) * F.col(x)).over(_w(by)))
+    return quotient(F.col(x), F.sqrt(F.sum(F.col(x) * F.col(x)).over(_w(by))))
 
 
 def deltaovermean(x: str, by) -> Column:
     mean = F.avg(x).over(_w(by))
-    return (F.col(x) - mean) / mean
+    return quotient(F.col(x) - mean, mean)
 
 
 def average_rank(x: str, by) -> Column:
