@@ -38,9 +38,9 @@ def quotient(a: Column, b: Column) -> Column:
     return F.coalesce(a / F.nullif(b, F.lit(0.0)), F.when(b == 0, a * F.lit(float("inf"))))
 
 
-def slog(x: Column) -> Column:
+def slog(x: Column, least: float = TINY) -> Column:
     """Logarithm with its argument kept above the smallest safe value."""
-    return F.log(F.greatest(x, F.lit(TINY)))
+    return F.log(F.greatest(x, F.lit(least)))
 
 
 def sexp(x: Column) -> Column:

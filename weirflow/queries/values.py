@@ -151,7 +151,7 @@ def scalar_functions(spark, sf_dir):
     v, k = F.col("value") / 100, F.col("event_id") % 15
     one = F.lit(1.0)
     return load(spark, sf_dir, "events").select(
-        "event_id", r6(scalar.slog(v)).alias("slog"), r6(scalar.sigmoid(v)).alias("sigmoid"), r6(scalar.softplus(v)).alias("softplus"),
+        "event_id", r6(scalar.slog(v, 1e-300)).alias("slog"), r6(scalar.sigmoid(v)).alias("sigmoid"), r6(scalar.softplus(v)).alias("softplus"),
         r6(scalar.gaussian_logpdf(one, 2 * one, v)).alias("gauss"), r6(scalar.poisson_logpdf(k, 3 * one)).alias("poisson"), r6(scalar.betapr(k, F.lit(20))).alias("betapr"),
     )
 
