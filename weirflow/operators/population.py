@@ -11,26 +11,29 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions.scalar import quotient
 from ..plans.joins import same_join
 from ..plans.store import checkpoint_folder
 from .cosine import low_pass, up_sample
 from .phasemap import cells, critical_points, gradient, turn
 
 
-def description(df: DataFrame, re: str, im: str, by: Sequence[str] = ()) -> DataFrame:
+def description(df: DataFrame, re: str, im: str, by: Sequence[str] = (), size: str | None = None, directed: bool = False) -> DataFrame:
     """Statistics of the complex samples of each group, of which those with a null part are left out.
 
     n; amplitude, the mean magnitude; magnitude and phase of the mean; synchrony, their ratio, and kuramoto, that of
     unit vectors, both also as a circular deviation (_std) and synchrony as 1 / (1 - s) (_linear); dispersion, the
     fourth root of the covariance's determinant, its inverse precision, and concentration, amplitude over dispersion;
     phase_std and amplitude_std, deviations across and along the mean's direction, over its magnitude (_dispersion) and
-    the inverse of that (_precision). What would divide by zero is null."""
+    the inverse of that (_precision). What would divide by zero is null; with `directed` every sample must have a
+    direction, and kuramoto is NaN where a zero has none. `size` names a column of magnitudes where they are known."""
     r, i = F.col(re).cast("double"), F.col(im).cast("double")
-    size = F.sqrt(r * r + i * i)
+    size = F.col(size) if size else F.sqrt(r * r + i * i)
     rows = df.where(r.isNotNull() & i.isNotNull())
     over = lambda a, b: a / F.nullif(b, F.lit(0.0))
+    part = quotient if directed else over
     made = rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(r).alias("_r"), F.avg(i).alias("_i"), F.avg(size).alias("amplitude"), F.avg(over(r, size)).alias("_ur"), F.avg(over(i, size)).alias("_ui"),
+        F.count(F.lit(1)).alias("n"), F.avg(r).alias("_r"), F.avg(i).alias("_i"), F.avg(size).alias("amplitude"), F.avg(part(r, size)).alias("_ur"), F.avg(part(i, size)).alias("_ui"),
         F.var_pop(r).alias("_rr"), F.covar_pop(r, i).alias("_ri"), F.var_pop(i).alias("_ii"),
     )
     c = F.col
@@ -40,7 +43,7 @@ def description(df: DataFrame, re: str, im: str, by: Sequence[str] = ()) -> Data
     along = c("_c") ** 2 * c("_rr") + 2 * c("_s") * c("_c") * c("_ri") + c("_s") ** 2 * c("_ii")
     root = lambda x: F.sqrt(F.greatest(x, F.lit(0.0)))
     made = made.withColumns({"dispersion": root(root(c("_rr") * c("_ii") - c("_ri") ** 2)), "phase_std": root(across), "amplitude_std": root(along)})
-    spread = lambda x: F.when(x > 0, root(-2 * F.log(F.least(x, F.lit(1.0)))))
+    spread = lambda x: F.when(F.isnan(x), x).when(x > 0, root(-2 * F.log(F.least(x, F.lit(1.0)))))
     return made.select(
         *by, "n", "amplitude", "magnitude", "phase", "synchrony", "kuramoto", spread(c("synchrony")).alias("synchrony_std"), spread(c("kuramoto")).alias("kuramoto_std"), over(F.lit(1.0), 1 - c("synchrony")).alias("synchrony_linear"),
         "dispersion", over(F.lit(1.0), c("dispersion")).alias("precision"), over(c("amplitude"), c("dispersion")).alias("concentration"), "phase_std", "amplitude_std",
