@@ -4,7 +4,6 @@ import math
 
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql import functions as F
 
 from weirflow.operators import normalize as n, polar, population as pop
 from weirflow.queries import QUERIES
