@@ -213,3 +213,10 @@ def test_circular_regression(spark):
     w, left, *_ = np.linalg.lstsq(b, y, rcond=None)
     assert (c["a"], c["b"], c["c"]) == pytest.approx(w) and c["r2"] == pytest.approx(1 - left[0] / ((y - y.mean()) ** 2).sum())
     assert found["none"]["p_value"] > 0.05
+
+
+def test_poisson_from_bounds(spark):
+    """Bounds worked out once give the same numbers as the sum, beyond them too."""
+    rows = spark.range(4000).select((F.col("id") / 4000).alias("u"), F.when(F.col("id") % 3 == 0, 0.25).when(F.col("id") % 3 == 1, 1.5).otherwise(20.0).alias("rate"))
+    rows = rows.withColumn("bounds", quantiles.poisson_bounds(F.col("rate")))
+    assert rows.where(quantiles.poisson_within(F.col("u"), F.col("bounds"), F.col("rate")) != quantiles.poisson(F.col("u"), F.col("rate"))).count() == 0

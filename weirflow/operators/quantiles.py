@@ -17,6 +17,8 @@ from ..plans.store import checkpoint_folder
 
 #: Bins of equal depth in each group.
 BINS = 128
+#: Tasks for each core that rows are dealt to before replicates are drawn.
+DEAL = 2
 
 
 def uniform(seed: int, *keys: str) -> Column:
@@ -38,6 +40,26 @@ def poisson(u: Column, rate: Column | float = 1.0) -> Column:
     return F.aggregate(F.sequence(F.lit(1), most), first, step, lambda s: s["n"])
 
 
+def poisson_bounds(rate: Column, n: int = 8) -> Column:
+    """Struct of the first `n` cumulated probabilities b0, b1, ... of a Poisson distribution, added up as `poisson` does."""
+    rate = rate.cast("double")
+    term = total = F.exp(-rate)
+    out = [total.alias("b0")]
+    for k in range(1, n):
+        term = term * rate / k
+        total = total + term
+        out.append(total.alias(f"b{k}"))
+    return F.struct(*out)
+
+
+def poisson_within(u: Column, bounds: Column, rate: Column, n: int = 8) -> Column:
+    """`poisson` from bounds known beforehand, and summed anew only for the few numbers beyond them."""
+    out = poisson(u, rate)
+    for k in reversed(range(n)):
+        out = F.when(u < bounds[f"b{k}"], F.lit(k)).otherwise(out)
+    return out
+
+
 def unit_poisson(u: Column) -> Column:
     """Poisson number of rate 1 from bounds known beforehand, twelve at most."""
     out, term, total, bounds = F.lit(12), 2.718281828459045**-1, 0.0, []
@@ -61,7 +83,13 @@ def weighted_quantiles(df: DataFrame, x: str, n: int, probs: Sequence[float], ar
     rows, keys = _keyed(rows, by)
     checkpoint_folder(df.sparkSession)
     cuts = rows.groupBy(*keys).agg(F.percentile_approx("_x", [k / BINS for k in range(1, BINS)], 100 * BINS).alias("_cuts"))
-    rows = same_join(rows, cuts, keys).withColumn("_bin", F.size(F.filter("_cuts", lambda c: c < F.col("_x")))).drop("_cuts")
+    if n > 1:
+        # a file's one row group is one task, which would draw every replicate of every row
+        rows = rows.repartition(DEAL * df.sparkSession.sparkContext.defaultParallelism)
+    # the cuts below a value: first every 16th, then those from there on
+    below = lambda at: F.coalesce((F.get("_cuts", at) < F.col("_x")).cast("int"), F.lit(0))
+    rows = same_join(rows, cuts, keys).withColumn("_coarse", sum((below(F.lit(k)) for k in range(15, BINS - 1, 16)), F.lit(0)))
+    rows = rows.withColumn("_bin", F.col("_coarse") * 16 + sum((below(F.col("_coarse") * 16 + k) for k in range(15)), F.lit(0))).drop("_cuts", "_coarse")
     weights = [w.cast("long").alias(f"_w{k}") for k, w in enumerate(arms.values())]
     listed = lambda: F.explode(F.array(*(F.struct(F.lit(a).alias("arm"), F.col(f"_w{k}").alias("w")) for k, a in enumerate(arms))))
     sums = [F.sum(f"_w{k}").alias(f"_w{k}") for k in range(len(arms))]
@@ -114,11 +142,15 @@ def bootstrap_statistic(df: DataFrame, key: str, n: int, statistic: Callable[[Co
     return rows.groupBy(*by, "replicate").agg(statistic(F.col("_w")).alias("value"))
 
 
-def _two_samples(df: DataFrame, x: str, first: Column, key: str, by: Sequence[str]) -> DataFrame:
-    """Rows with side, and the sizes of both sides of their group as `_na` and `_nb`."""
+def _two_samples(df: DataFrame, x: str, first: Column, key: str, by: Sequence[str], bounds: bool = False) -> DataFrame:
+    """Rows with side, and the sizes of both sides of their group as `_na` and `_nb`; with `bounds` those of the Poisson
+    numbers of their ratio, worked out once for a group."""
     rows = df.select(*by, F.col(x).cast("double").alias("x"), first.alias("_a"), F.col(key).alias("_key")).where("x is not null and not isnan(x) and _a is not null")
     sizes = rows.groupBy(*by).agg(F.sum(F.col("_a").cast("long")).alias("_na"), F.sum((~F.col("_a")).cast("long")).alias("_nb"))
-    return same_join(rows, sizes, by).where("_na > 0 and _nb > 0")
+    sizes = sizes.where("_na > 0 and _nb > 0")
+    if bounds:
+        sizes = sizes.withColumn("_bounds", poisson_bounds(F.col("_na") / F.col("_nb")))
+    return same_join(rows, sizes, by)
 
 
 def _observed(rows: DataFrame, p: float, by: Sequence[str]) -> DataFrame:
@@ -133,9 +165,9 @@ def null_quantile_test(df: DataFrame, x: str, first: Column, key: str, n: int =
     `n` samples of about the first's size are drawn with replacement from the second; the p-value is the share of
     them whose quantile is further from the second's own than the first's is. Groups with one side have no row."""
     df, keys = _keyed(df, by)
-    rows = _two_samples(df, x, first, key, keys)
+    rows = _two_samples(df, x, first, key, keys, bounds=True)
     seen = _observed(rows, p, keys)
-    weight = F.when(F.col("_a"), F.lit(0)).otherwise(poisson(F.col("_u"), F.col("_na") / F.col("_nb")))
+    weight = F.when(F.col("_a"), F.lit(0)).otherwise(poisson_within(F.col("_u"), F.col("_bounds"), F.col("_na") / F.col("_nb")))
     drawn = weighted_quantiles(rows, "x", n, [p], {"null": weight}, keys, uniform(seed, "_key", "replicate")).select(*keys, "value")
     further = F.abs(F.col("value") - F.col("second")) > F.abs(F.col("first") - F.col("second"))
     return same_join(drawn, seen, keys).groupBy(*keys, "first", "second").agg(F.avg(further.cast("double")).alias("p_value")).select(*by, "first", "second", "p_value")
