@@ -83,6 +83,7 @@ def near_pairs(spark, sf_dir):
 
 @query(f"WITH {_V}, p AS (SELECT a.vec_id AS a, b.vec_id AS b, pow(a.x - b.x, 2) + pow(a.y - b.y, 2) AS d FROM v a JOIN v b ON a.vec_id <> b.vec_id AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) < 0.0025) SELECT a, b, round(sqrt(d), 6) AS distance FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b) = 1")
 def nearest_neighbour(spark, sf_dir):
+    _checkpoints(spark)
     made = g.nearest(_points(spark, sf_dir), "vec_id", 0.05)
     return made.select("a", "b", r6("distance").alias("distance"))
 
