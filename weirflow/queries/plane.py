@@ -91,7 +91,7 @@ def nearest_neighbour(spark, sf_dir):
 @query(f"WITH RECURSIVE {_V}, e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) < 0.00004), w AS (SELECT DISTINCT a AS node, a AS root FROM e UNION SELECT e.b, w.root FROM w JOIN e ON e.a = w.node WHERE w.root < e.b) SELECT node, min(root) AS root FROM w GROUP BY node")
 def connected_components(spark, sf_dir):
     _checkpoints(spark)
-    return g.components(g.near_pairs(_points(spark, sf_dir), "vec_id", 0.00004**0.5))
+    return g.components(g.near_links(_points(spark, sf_dir), "vec_id", 0.00004**0.5))
 
 
 @query()
