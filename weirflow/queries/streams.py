@@ -10,8 +10,9 @@ from .registry import query
 
 
 def _stream(spark, sf_dir):
+    # braces make the path a pattern, which may stand for one file or for a folder of them
     schema = load(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", "false").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{{{{events.parquet}}}}").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 @query("SELECT date_trunc('hour', ts) AS start, count(*) AS n, round(avg(value), 6) AS mean, round(var_pop(value), 6) + 0.0 AS \"var\" FROM events GROUP BY 1")
