@@ -1,6 +1,7 @@
 """Recursions along series in small batches, against whole-series kernels and integration on a fine grid."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from weirflow.functions import state as st
@@ -126,3 +127,30 @@ def test_peaks_of_several_hidden_values(spark):
         assert np.allclose(np.linalg.inv(got), np.linalg.inv(c) + np.outer(b, b) * np.exp(b @ m))
     one = scan.laplace_smoother(frame(spark, {"a": [1.0, 4.0, None, 2.0]}), "s", "i", "x", np.eye(1), 0.1 * np.eye(1), np.ones(1), np.zeros(1), np.eye(1))
     assert len(series(one, "a", "mean")) == 4 and all(v[0] > 0 for v in series(one, "a", "cov"))
+
+
+def test_series_side_by_side_go_on_over_batches(spark):
+    def step(state, got, fresh):
+        now = np.where(fresh, 0.0, state[0]) + got["x"]
+        return {"sum": now, "both": np.stack([now, got["x"]], axis=1)}, (now,)
+
+    rng = np.random.default_rng(5)
+    data = pd.DataFrame({"s": np.repeat(["a", "b", "c", "d"], [1, 40, 3, 17]), "x": rng.integers(0, 9, 61).astype(float)})
+    data["i"] = data.groupby("s").cumcount()
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for reverse in (False, True):
+            got = scan.together(spark.createDataFrame(data).repartition(3), "s", "i", ["x"], lambda n: (np.zeros(n),), step, "sum double, both array<double>", reverse=reverse).toPandas().sort_values(["s", "i"])
+            want = (data.iloc[::-1] if reverse else data).groupby("s")["x"].cumsum().sort_index()
+            assert got["sum"].tolist() == want.tolist() and [list(b) for b in got["both"]] == [list(b) for b in zip(want, data["x"])]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_moments_of_many_are_those_of_each():
+    m, v, y = np.array([0.2, -3.0, 1.0]), np.array([0.5, 4.0, 1e-4]), np.array([0.0, 3.0, 7.0])
+    like = scan.OBSERVED["log"]
+    many = scan.all_moments(lambda x, which: like(y[which, None], x, 1.0, 0.0), m, v)
+    for k in range(3):
+        assert scan.moments(lambda x, k=k: like(y[k], x, 1.0, 0.0), m[k], v[k]) == pytest.approx([a[k] for a in many], rel=1e-12)
