@@ -132,3 +132,22 @@ def test_chance_of_coherence(spark):
     assert co.cross_spectra(spark.createDataFrame(data), ["x", "y"], 32).count() == 0
     with pytest.raises(ValueError, match="even"):
         co.cross_spectra(spark.createDataFrame(data), ["x"], 5)
+
+
+def test_sums_are_sent_before_they_fill_a_task_and_windows_are_not_shuffled_twice(spark, monkeypatch):
+    data, _ = mixed(3, {k: (0, 100) for k in "pqrstu"})
+    df = spark.createDataFrame(data).repartition(2)
+    names = ["a", "b", "c"]
+    frame = lambda group: co.coherence(co.cross_spectra(df, names, 32, 3, group), names, 32, group=group).toPandas().sort_values([*co.GROUPS[group], "first", "second", "frequency"]).reset_index(drop=True)
+    whole = {g: frame(g) for g in ("trial", "window")}
+    # two groups of sums are all that a task may hold
+    monkeypatch.setattr(co, "HELD", 2 * 9 * 17)
+    for g, want in whole.items():
+        pd.testing.assert_frame_equal(frame(g), want)
+
+    def joins(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("Join")
+
+    held = co.chunks(df, names, 0, 16, 16)
+    made = co.coherence(co.cross_spectra(df, names, 32, 3, "window"), names, 32, group="window")
+    assert joins(made) == joins(held)

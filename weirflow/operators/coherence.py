@@ -7,7 +7,7 @@ adds up the cross-spectra of its windows for every group asked for; what meets i
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -18,13 +18,17 @@ from .lagmodel import Layout, _matrix, _rows, chunks
 
 #: What is averaged together, by name: the columns that keep windows apart.
 GROUPS = {"all": (), "trial": ("trial",), "place": ("chunk",), "window": ("trial", "chunk")}
+#: Complex numbers that a task holds before it sends its sums so far.
+HELD = 1 << 20
 
 
 def cross_spectra(df: DataFrame, names: Sequence, size: int, tapers: int = 5, group: str = "all", at: Layout = Layout()) -> DataFrame:
-    """(group, u, v, k, re, im, n): sums of tapered cross-spectra of channels u <= v at frequency k / size, and their number.
+    """(group, u, v, k, re, im, power_u, power_v, n): sums of tapered cross-spectra of channels u <= v at frequency
+    k / size, of the power of both, and their number.
 
     Windows of `size` samples begin every size / 2 samples and lie wholly within their series; each is centred.
-    A window has `tapers` spectra. The chunk of a window is its begin over size / 2."""
+    A window has `tapers` spectra. The chunk of a window is its begin over size / 2. A task holds sums of a bounded number of
+    groups; single windows are sent as they are and not shuffled again."""
     if size < 4 or size % 2:
         raise ValueError("size is even and at least 4")
     n, half, keep = len(names), size // 2, GROUPS[group]
@@ -34,12 +38,17 @@ def cross_spectra(df: DataFrame, names: Sequence, size: int, tapers: int = 5, gr
     held = chunks(df, names, 0, half, half, at)
     kind = dict(held.dtypes)["trial"]
 
-    def given(key: tuple, s: np.ndarray, count: int, trial_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-        m = len(u) * (half + 1)
-        columns = {c: pa.array([key[k]] * m, trial_type if c == "trial" else pa.int64()) for k, c in enumerate(keep)}
-        columns |= {"u": pa.array(np.repeat(u, half + 1), pa.int32()), "v": pa.array(np.repeat(v, half + 1), pa.int32()), "k": pa.array(np.tile(np.arange(half + 1), len(u)), pa.int32())}
-        flat = s[u, v].ravel()
-        yield pa.RecordBatch.from_pydict(columns | {"re": pa.array(flat.real), "im": pa.array(flat.imag), "n": pa.array(np.full(m, count), pa.int64())})
+    most = max(1, HELD // (n * n * (half + 1)))
+
+    def given(sums: dict[tuple, list], trial_type: pa.DataType) -> pa.RecordBatch:
+        m, count = len(u) * (half + 1), len(sums)
+        s = np.stack([x for x, _ in sums.values()])
+        power = np.real(s[:, np.arange(n), np.arange(n)])
+        columns = {c: pa.array([key[k] for key in sums], trial_type if c == "trial" else pa.int64()).take(pa.array(np.repeat(np.arange(count), m))) for k, c in enumerate(keep)}
+        columns |= {c: pa.array(np.tile(x, count), pa.int32()) for c, x in (("u", np.repeat(u, half + 1)), ("v", np.repeat(v, half + 1)), ("k", np.tile(np.arange(half + 1), len(u))))}
+        flat = s[:, u, v].ravel()
+        columns |= {"re": pa.array(flat.real), "im": pa.array(flat.imag), "power_u": pa.array(power[:, u].ravel()), "power_v": pa.array(power[:, v].ravel())}
+        return pa.RecordBatch.from_pydict(columns | {"n": pa.array(np.repeat([x for _, x in sums.values()], m), pa.int64())})
 
     def run(batches):
         sums: dict[tuple, list] = {}
@@ -55,19 +64,22 @@ def cross_spectra(df: DataFrame, names: Sequence, size: int, tapers: int = 5, gr
                 f = np.fft.rfft((x - x.mean(axis=1, keepdims=True))[:, None, :] * weights, axis=2)
                 s = np.einsum("utk,vtk->uvk", f, f.conj())
                 key = tuple(trials[i].as_py() if c == "trial" else row["chunk"] for c in keep)
-                if group == "window":
-                    yield from given(key, s, tapers, kind_of)
-                elif key in sums:
+                if key in sums:
                     sums[key][0] += s
                     sums[key][1] += tapers
                 else:
                     sums[key] = [s, tapers]
-        for key, (s, count) in sums.items():
-            yield from given(key, s, count, kind_of)
+                if len(sums) >= most:
+                    yield given(sums, kind_of)
+                    sums = {}
+        if sums:
+            yield given(sums, kind_of)
 
     columns = "".join(f"{c} {kind if c == 'trial' else 'long'}, " for c in keep)
-    made = held.mapInArrow(run, columns + "u int, v int, k int, re double, im double, n long")
-    return made.groupBy(*keep, "u", "v", "k").agg(*(F.sum(c).alias(c) for c in ("re", "im", "n")))
+    made = held.mapInArrow(run, columns + "u int, v int, k int, re double, im double, power_u double, power_v double, n long")
+    if group == "window":
+        return made
+    return made.groupBy(*keep, "u", "v", "k").agg(*(F.sum(c).alias(c) for c in ("re", "im", "power_u", "power_v", "n")))
 
 
 def coherence(spectra: DataFrame, names: Sequence, size: int, rate: float = 1.0, group: str = "all") -> DataFrame:
@@ -75,9 +87,7 @@ def coherence(spectra: DataFrame, names: Sequence, size: int, rate: float = 1.0,
 
     coherence is the squared magnitude; the p-value is that of one at least as large between unrelated channels."""
     keep = list(GROUPS[group])
-    power = spectra.where("u = v").select(*keep, F.col("u").alias("c"), "k", F.col("re").alias("power"))
-    at = lambda c: power.withColumnsRenamed({"c": c, "power": f"power_{c}"})
-    rows = spectra.where("u < v").join(at("u"), [*keep, "u", "k"]).join(at("v"), [*keep, "v", "k"])
+    rows = spectra.where("u < v")
     squared = (F.col("re") * F.col("re") + F.col("im") * F.col("im")) / F.nullif(F.col("power_u") * F.col("power_v"), F.lit(0.0))
     named = lambda c: F.element_at(F.array(*map(F.lit, names)), F.col(c) + 1)
     rows = rows.withColumn("coherence", F.least(squared, F.lit(1.0)))
