@@ -149,3 +149,13 @@ def test_camel_to_snake(spark):
     pairs = [("eventTypeOf", "event_type_of"), ("HTTPServer2Go", "http_server2_go"), ("A", "a"), ("aB", "a_b"), ("getURL", "get_url"), ("", ""), ("x1Y", "x1_y")]
     rows = spark.createDataFrame([(a,) for a, _ in pairs], "s string").coalesce(1)
     assert [r[0] for r in rows.select(text.camel_to_snake(rows["s"])).collect()] == [b for _, b in pairs]
+
+
+def test_results_of_series_are_sent_together():
+    from weirflow.operators import kernels
+
+    made = [(k, {"x": np.full(n, float(n)), "y": [n] * n}) for k, n in (("a", 3), (None, 2), ("b", 0), ("c", kernels.TOGETHER), ("d", 1))]
+    frames = list(kernels._sent("k", iter(made)))
+    assert [len(f) for f in frames] == [kernels.TOGETHER + 5, 1]
+    assert frames[0]["k"].iloc[:6].tolist() == ["a"] * 3 + [None] * 2 + ["c"] and frames[0]["y"].iloc[:6].tolist() == [3, 3, 3, 2, 2, kernels.TOGETHER]
+    assert list(kernels._sent("k", iter([]))) == []

@@ -2,13 +2,37 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 
+#: Rows of results that a task puts together before it sends them.
+TOGETHER = 50_000
+
+
+def _sent(by: str, made: Iterable[tuple[Any, dict[str, np.ndarray]]]) -> Iterator[pd.DataFrame]:
+    """Frames of many series' results, as one frame for each series costs more than its kernel."""
+    keys, parts, held = [], [], 0
+
+    def frame():
+        counts = [len(next(iter(p.values()))) for p in parts]
+        return pd.DataFrame({by: pd.Series(keys, dtype=object if None in keys else None).repeat(counts).reset_index(drop=True)} | {c: np.concatenate([p[c] for p in parts]) for c in parts[0]})
+
+    for key, part in made:
+        keys.append(key)
+        parts.append(part)
+        held += len(next(iter(part.values())))
+        if held >= TOGETHER:
+            yield frame()
+            keys, parts, held = [], [], 0
+    if parts:
+        yield frame()
+
+
 def map_series(df: DataFrame, by: str, i: str, x: str, kernel: Callable[[np.ndarray], dict[str, np.ndarray]], schema: str, least: int = 2) -> DataFrame:
     """Apply `kernel` to each series' values in order of i; it returns columns of equal length.
 
@@ -21,9 +45,7 @@ def map_series(df: DataFrame, by: str, i: str, x: str, kernel: Callable[[np.ndar
 
     def run(batches):
         for batch in batches:
-            for key, values in zip(batch[by], batch["x"], strict=True):
-                if len(values) >= least:
-                    yield pd.DataFrame({by: key} | kernel(np.asarray(values, float)))
+            yield from _sent(by, ((key, kernel(np.asarray(values, float))) for key, values in zip(batch[by], batch["x"], strict=True) if len(values) >= least))
 
     return packed.mapInPandas(run, f"{by} {kind}, {schema}")
 
@@ -37,8 +59,6 @@ def map_pairs(df: DataFrame, by: str, i: str, x: str, y: str, kernel: Callable[[
 
     def run(batches):
         for batch in batches:
-            for key, a, b in zip(batch[by], batch["x"], batch["y"], strict=True):
-                if len(a) >= least:
-                    yield pd.DataFrame({by: key} | kernel(np.asarray(a, float), np.asarray(b, float)))
+            yield from _sent(by, ((key, kernel(np.asarray(a, float), np.asarray(b, float))) for key, a, b in zip(batch[by], batch["x"], batch["y"], strict=True) if len(a) >= least))
 
     return packed.mapInPandas(run, f"{by} {kind}, {schema}")
