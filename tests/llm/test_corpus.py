@@ -139,6 +139,23 @@ def test_passages_whose_pieces_are_quoted_before(spark):
     assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
+def test_no_equal_forty_words_and_pieces_quoted_before(spark):
+    """Every holder of a seed meets, not its first one alone: the pieces of at most 20 words that eight earlier documents
+    quote hold all seeds, and no 40 words in a row are equal. 20 documents quoting each piece make its seeds frequent."""
+    for quotes, edits in ((1, (16, 32, 48, 64)), (20, (33, 66))):
+        rng, rows, want = random.Random(15), [], set()
+        for n in range(8):
+            shared = prose(rng, 80, 10**9)
+            copy = [f"edit{n}" if k in edits else w for k, w in enumerate(shared)]
+            for k in range(quotes * 8):
+                rows.append((1000 * n + k, " ".join([*prose(rng, 9, 10**9), *shared[k % 8 * 10 :][:20], *prose(rng, 9, 10**9)])))
+            for k, put in ((500, shared), (501, copy)):
+                rows.append((1000 * n + k, " ".join([*prose(rng, 60, 10**9), *put, *prose(rng, 60, 10**9)])))
+            want.add((1000 * n + 501, 1000 * n + 500, 60, 140, 60, 140, 80 - len(edits)))
+        got = substring_dedup.shared_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+        assert {tuple(r) for r in got} == want
+
+
 def test_passages_that_stand_twice(spark):
     """Both copies in a document are found, though no 40 words in a row are equal."""
     rng = random.Random(14)
