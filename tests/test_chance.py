@@ -3,10 +3,12 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from weirflow.functions.special import beta_cdf, beta_quantile
+from weirflow.functions import draws
 from weirflow.operators import adaptive, curves, factors, quantiles
 
 
@@ -220,3 +222,20 @@ def test_poisson_from_bounds(spark):
     rows = spark.range(4000).select((F.col("id") / 4000).alias("u"), F.when(F.col("id") % 3 == 0, 0.25).when(F.col("id") % 3 == 1, 1.5).otherwise(20.0).alias("rate"))
     rows = rows.withColumn("bounds", quantiles.poisson_bounds(F.col("rate")))
     assert rows.where(quantiles.poisson_within(F.col("u"), F.col("bounds"), F.col("rate")) != quantiles.poisson(F.col("u"), F.col("rate"))).count() == 0
+
+
+def test_draws_by_numpy_are_those_of_columns(spark):
+    """Draws are made once a row and replicate, by a worker: no MD5 column is left, which Spark worked out anew wherever it was used."""
+    keys = [None, "", "1", "123456", "é", "x" * 45, "y" * 80]
+    df = spark.createDataFrame([(k, float(i), "a" if i % 2 else None) for i, k in enumerate(keys)], "k string, x double, g string").coalesce(1)
+    want = [[r.u for r in df.withColumn("r", F.lit(n)).select(quantiles.uniform(3, "k", "r").alias("u")).collect()] for n in (-1, 0, 7, 127)]
+    for part in (slice(0, 6), slice(1, 7)):
+        assert [list(u) for u in draws.uniforms(3, pa.array(keys)[part], (-1, 0, 7, 127))] == [w[part] for w in want]
+    made = curves.replicate_grams(df, [F.lit(1.0), F.col("x")], "x", "k", 5, 3, ["g"])
+    assert "md5" not in made._jdf.queryExecution().toString()
+    rows = df.collect()
+    for r in made.collect():
+        w = [1.0 if r.replicate < 0 else float(np.searchsorted(quantiles.unit_bounds(), next(iter(draws.uniforms(3, pa.array([q.k]), [r.replicate])))[0], "right")) for q in rows]
+        own = [(v, q.x) for v, q in zip(w, rows, strict=True) if q.g == r.g]
+        assert (r.n, r.c1, r.g0_1) == (sum(v for v, _ in own), sum(v * x * x for v, x in own), sum(v * x for v, x in own))
+    assert "md5" not in adaptive.shuffled_mean_difference("x", F.col("x") > 2, "k", ["g"])(df, 0, 4)._jdf.queryExecution().toString()

@@ -6,14 +6,16 @@ all bootstrap replicates. Robust lines and non-linear models go in rounds of one
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.draws import grouped, uniforms
 from ..plans.joins import replicates
-from .quantiles import exact_quantiles, uniform, unit_poisson
+from .quantiles import exact_quantiles, uniform, unit_bounds
 
 
 @dataclass(frozen=True)
@@ -64,15 +66,38 @@ def spline_knots(df: DataFrame, x: str, df_: int = 5, natural: bool = True) -> S
 def replicate_grams(df: DataFrame, basis: Sequence[Column], y: str, key: str, n: int, seed: int = 0, by: Sequence[str] = ()) -> DataFrame:
     """(by, replicate, g<i>_<j>, c<i>, yy, n): normal equations of the data (replicate -1) and of `n` Poisson bootstraps.
 
-    Sums are added up before the shuffle: one row for each replicate and task."""
+    Draws and sums are made batch by batch: one row for each replicate, group and batch is shuffled."""
     rows = df.select(*by, F.col(y).cast("double").alias("_y"), F.col(key).alias("_key"), *(b.alias(f"_b{i}") for i, b in enumerate(basis))).dropna(subset=["_y", *(f"_b{i}" for i in range(len(basis)))])
-    rows = replicates(rows, n + 1).withColumn("replicate", F.col("replicate") - 1)
-    rows = rows.withColumn("_u", uniform(seed, "_key", "replicate"))
-    w = F.when(F.col("replicate") < 0, F.lit(1)).otherwise(unit_poisson(F.col("_u"))).cast("double")
-    rows = rows.withColumn("_w", w).where("_w > 0")
-    m = range(len(basis))
-    cells = [F.sum(F.col("_w") * F.col(f"_b{i}") * F.col(f"_b{j}")).alias(f"g{i}_{j}") for i in m for j in m if i <= j]
-    return rows.groupBy(*by, "replicate").agg(*cells, *(F.sum(F.col("_w") * F.col(f"_b{i}") * F.col("_y")).alias(f"c{i}") for i in m), F.sum(F.col("_w") * F.col("_y") * F.col("_y")).alias("yy"), F.sum("_w").alias("n"))
+    m = len(basis)
+    names = [*(f"g{i}_{j}" for i in range(m) for j in range(i, m)), *(f"c{i}" for i in range(m)), "yy", "n"]
+    kinds = dict(rows.dtypes)
+    shown = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "replicate int", *(f"{c} double" for c in names)])
+    sums = rows.withColumns({"_key": F.col("_key").cast("string"), **{f"_b{i}": F.col(f"_b{i}").cast("double") for i in range(m)}}).mapInArrow(_gram_sums(m, n, seed, tuple(by), names), shown)
+    return sums.groupBy(*by, "replicate").agg(*(F.sum(c).alias(c) for c in names))
+
+
+def _gram_sums(m: int, n: int, seed: int, by: tuple[str, ...], names: list[str]):
+    """Batches of (by, _y, _key, _b0, ...) to sums for each group and replicate: weights times products, once a batch."""
+    bounds = unit_bounds()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            y = batch.column("_y").to_numpy()
+            b = [batch.column(f"_b{i}").to_numpy() for i in range(m)]
+            cells = np.stack([*(b[i] * b[j] for i in range(m) for j in range(i, m)), *(v * y for v in b), y * y, np.ones(len(y))], axis=1)
+            w = np.stack([np.ones(len(y)), *(np.searchsorted(bounds, u, "right") for u in uniforms(seed, batch.column("_key"), range(n)))])
+            codes, first = grouped(batch, by)
+            sums = np.stack([w[:, codes == g] @ cells[codes == g] for g in range(len(first))])
+            at = np.repeat(np.arange(len(first)), n + 1)
+            columns = [*(batch.column(c).take(first).take(pa.array(at)) for c in by), pa.array(np.tile(np.arange(-1, n, dtype=np.int32), len(first)))]
+            # a replicate in which no row of the group is drawn has no sums
+            drawn = sums[:, :, -1].ravel() > 0
+            columns += [pa.array(np.ascontiguousarray(sums[:, :, k].ravel())) for k in range(cells.shape[1])]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(drawn)) for c in columns], [*by, "replicate", *names])
+
+    return run
 
 
 def solved(r, size: int, reg: float) -> np.ndarray:

@@ -60,13 +60,19 @@ def poisson_within(u: Column, bounds: Column, rate: Column, n: int = 8) -> Colum
     return out
 
 
-def unit_poisson(u: Column) -> Column:
-    """Poisson number of rate 1 from bounds known beforehand, twelve at most."""
-    out, term, total, bounds = F.lit(12), 2.718281828459045**-1, 0.0, []
+def unit_bounds() -> list[float]:
+    """First twelve cumulated probabilities of a Poisson distribution of rate 1."""
+    term, total, bounds = 2.718281828459045**-1, 0.0, []
     for k in range(12):
         total += term
         term /= k + 1
         bounds.append(total)
+    return bounds
+
+
+def unit_poisson(u: Column) -> Column:
+    """Poisson number of rate 1 from bounds known beforehand, twelve at most."""
+    out, bounds = F.lit(12), unit_bounds()
     for k in reversed(range(12)):
         out = F.when(u < bounds[k], F.lit(k)).otherwise(out)
     return out
