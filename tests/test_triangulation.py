@@ -4,6 +4,7 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from weirflow.operators import triangulation as tr
 
@@ -66,3 +67,15 @@ def test_five_hundred_points(spark):
     assert len(sides) == len(found) + 500 - 1 and {r.n for r in sides} == {1, 2}
     near = {r.k: r.near for r in tr.neighbours(made, "s").collect()}
     assert len(near) == 500 and all(k in near[o] for k, own in near.items() for o in own)
+
+
+def test_rows_sent_grow_with_the_points(spark):
+    """Empty corners of a set make no cell see all points: a cell gets what its parts leave, and small sets of bytes many tasks."""
+    sizes = []
+    for n in (300, 1200):
+        p = np.random.default_rng(3).normal(size=(n, 2)) ** 3
+        cells = tr._cells(table(spark, {"even": p}).select("s", "k", "x", "y").dropna(), 20).where("s = 'even'")
+        sizes.append(cells.groupBy("level", F.floor(F.col("cx") / F.pow(F.lit(2), tr.DEPTH - F.col("level"))), F.floor(F.col("cy") / F.pow(F.lit(2), tr.DEPTH - F.col("level")))).count().agg(F.max("count"), F.sum("count")).first())
+        assert sizes[-1][0] <= 20 and sizes[-1][1] == n + 1
+    found = {(r.a, r.b, r.c) for r in tr.delaunay(table(spark, {"even": p}), "s", "k", per_tile=100).where("s = 'even'").collect()}
+    assert found == {tuple(map(int, r)) for r in tr.triangulated(p)}

@@ -1,10 +1,9 @@
 """Delaunay triangulations of point sets of any size: adjacency, triangles and unique edges.
 
-Points are worked on by tiles that also hold the points around them. A tile keeps the triangles whose circle's centre
-lies in it. No empty circle about a place of the tile reaches beyond what the tile has seen once the largest one there
-can't; tiles where it might are done again with twice the surroundings. Triangles whose centre lies outside of the
-points' bounds are thin ones at the rim: they join points whose other triangles leave gaps, so these points alone are
-triangulated together, and what holds a point within its circle is dropped.
+Points are dealt to the leaves of a tree of quartered cells, so crowds have small cells. A cell triangulates its points and
+keeps the triangles whose circle lies in it. A point that is surrounded by such triangles alone is done; all others go on to
+the cell above together with the points of the triangles that they have, which keep their surroundings as they are. So a cell
+gets what its parts leave at their rims, about the root of its points.
 """
 
 from __future__ import annotations
@@ -16,8 +15,8 @@ from pyspark.sql import DataFrame, functions as F
 from ..plans.joins import same_join
 from ..plans.store import checkpoint_folder
 
-#: Points of a tile, about, and places along a tile's side where empty circles are measured.
-PER_TILE, PLACES = 64, 9
+#: Points up to which a cell is not parted, and the deepest level of cells: a side is halved so many times.
+PER_TILE, DEPTH = 64, 16
 
 
 def circles(p: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,54 +58,58 @@ def triangulated(p: np.ndarray) -> np.ndarray:
     return np.sort(tri[(tri < n).all(axis=1)], axis=1)
 
 
-def _tiles(points: DataFrame, per_tile: int) -> DataFrame:
-    """Points (s, k, x, y) with their set's bounds, tiles along a side and a tile's width."""
-    ends = points.groupBy("s").agg(*(f(c).alias(f"{n}{c}") for n, f in (("a", F.min), ("z", F.max)) for c in "xy"), F.count(F.lit(1)).alias("n"))
-    side = F.greatest(F.floor(F.sqrt(F.col("n") / per_tile)), F.lit(1)).cast("long")
-    ends = ends.withColumn("side", side).withColumns({f"w{c}": F.greatest(F.col(f"z{c}") - F.col(f"a{c}"), F.lit(1e-300)) / F.col("side") for c in "xy"})
-    rows = same_join(points, ends.drop("n"), ["s"])
-    at = lambda c: F.least(F.floor((F.col(c) - F.col(f"a{c}")) / F.col(f"w{c}")).cast("long"), F.col("side") - 1)
-    return rows.withColumns({"tx": at("x"), "ty": at("y")})
-
-
-def _tile(reach: int):
-    """Of a tile's points and those up to `reach` tiles off: its triangles, or a row without any if it must see more."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.iloc[0]
-        low, width, side = np.array([g.ax, g.ay]), np.array([g.wx, g.wy]), int(g.side)
-        tile = np.array([g.ux, g.uy])
-        p, names = group[["x", "y"]].to_numpy(), group["k"].to_numpy()
-        begin, end = low + tile * width, low + (tile + 1) * width
-        whole = (tile - reach <= 0).all() and (tile + reach >= side - 1).all()
-        if not whole:
-            # what an empty circle about a place of the tile may reach without leaving what is seen, within the bounds
-            room = min([reach * width[k] for k in range(2) if tile[k] - reach > 0 or tile[k] + reach < side - 1])
-            steps = np.linspace(0, 1, PLACES)
-            places = np.stack(np.meshgrid(*(begin[k] + steps * (end - begin)[k] for k in range(2))), axis=-1).reshape(-1, 2)
-            free = max((np.sqrt(((p - s) ** 2).sum(axis=1).min()) for s in places), default=np.inf)
-            if free + 0.5 * np.hypot(*(width / (PLACES - 1))) > room:
-                return pd.DataFrame({"s": [g.s], "ux": [g.ux], "uy": [g.uy], "a": [None], "b": [None], "c": [None]})
-        t = triangulated(p)
-        centre, _ = circles(p, t)
-        last = np.where(tile == side - 1, np.nextafter(end, np.inf), end)
-        own = ((centre >= begin) & (centre < last)).all(axis=1)
-        named = np.sort(names[t[own]].reshape(-1, 3), axis=1)
-        return pd.DataFrame({"s": pd.Series([g.s] * len(named), dtype=object), "ux": g.ux, "uy": g.uy, "a": named[:, 0], "b": named[:, 1], "c": named[:, 2]})
+def _cells(points: DataFrame, per_tile: int) -> DataFrame:
+    """Points (s, k, x, y) with their set's corner, the deepest cells' widths, their own deepest cell and their leaf's level."""
+    ends = points.groupBy("s").agg(*(f(c).alias(f"{n}{c}") for c in "xy" for n, f in (("a", F.min), ("z", F.max))))
+    ends = ends.select("s", "ax", "ay", *((F.greatest(F.col(f"z{c}") - F.col(f"a{c}"), F.lit(1e-300)) / (1 << DEPTH)).alias(f"w{c}") for c in "xy"))
+    at = lambda c: F.least(F.floor((F.col(c) - F.col(f"a{c}")) / F.col(f"w{c}")).cast("long"), F.lit((1 << DEPTH) - 1))
+    rows = same_join(points, ends, ["s"]).withColumns({"cx": at("x"), "cy": at("y")}).checkpoint()
+    above = rows.select("s", "k", "cx", "cy", F.explode(F.sequence(F.lit(0), F.lit(DEPTH - 1))).alias("level"))
+    up = F.expr(f"cast(shiftleft(1L, {DEPTH} - level) as long)")
+    above = above.select("s", "k", "level", *(F.floor(F.col(f"c{c}") / up).cast("long").alias(f"u{c}") for c in "xy"))
+    full = above.groupBy("s", "level", "ux", "uy").count().where(F.col("count") > per_tile).drop("count")
+    leaf = same_join(above, full, ["s", "level", "ux", "uy"]).groupBy("s", "k").agg((F.max("level") + 1).alias("level"))
+    return same_join(rows, leaf.withColumnsRenamed({"level": "_level"}), ["s", "k"], "left").withColumn("level", F.coalesce("_level", F.lit(0))).drop("_level")
 
-    return run
 
+def _cell(level: int):
+    """Of a cell's points: its triangles that no part of it has given, and the points that go on to the cell above."""
 
-def _rim(group: pd.DataFrame) -> pd.DataFrame:
-    """Triangles of a set's rim points whose centre lies outside of the set's bounds."""
-    g = group.iloc[0]
-    p, names = group[["x", "y"]].to_numpy(), group["k"].to_numpy()
-    t = triangulated(p)
-    centre, square = circles(p, t)
-    outside = ~((centre >= [g.ax, g.ay]) & (centre <= [g.zx, g.zy])).all(axis=1) & np.isfinite(square)
-    t, centre, square = t[outside], centre[outside], square[outside]
-    named = np.sort(names[t].reshape(-1, 3), axis=1)
-    return pd.DataFrame({"s": pd.Series([g.s] * len(t), dtype=object), "a": named[:, 0], "b": named[:, 1], "c": named[:, 2], "mx": centre[:, 0], "my": centre[:, 1], "square": square})
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("k")  # so that a triangle has the same circle in all cells
+        p, names, open_ = group[["x", "y"]].to_numpy(), group["k"].to_numpy(), group["open"].to_numpy(bool)
+        corner, width = group[["ax", "ay"]].to_numpy()[0], group[["wx", "wy"]].to_numpy()[0]
+        t = triangulated(p)
+        t = t[open_[t].any(axis=1)]
+        centre, square = circles(p, t)
+        r = np.sqrt(square)[:, None]
+
+        def within(deep: int) -> np.ndarray:
+            """Does a circle lie in one cell of a level? Beyond the set's bounds there is no point, so outer cells have no end there."""
+            cell = width * 2.0 ** (DEPTH - deep)
+            with np.errstate(invalid="ignore"):
+                low, high = (np.clip(np.floor((v - corner) / cell), 0, 2**deep - 1) for v in (centre - r, centre + r))
+            return (low == high).all(axis=1) & np.isfinite(square)
+
+        final = within(level)
+        fresh = final & ~within(level + 1) if group["level"].max() > level else final
+        sides, times = np.unique(np.concatenate([t[:, [0, 1]], t[:, [1, 2]], t[:, [0, 2]]]), axis=0, return_counts=True)
+        done = np.zeros(len(p), bool)
+        done[t] = True
+        done[sides[times == 1]] = False
+        done[t[~final]] = False
+        still = open_ & ~done
+        keep = still.copy()
+        keep[t[final & still[t].any(axis=1)]] = True
+        made, rest = names[t[fresh]].reshape(-1, 3), group[keep & (level > 0)]
+        n, m = len(made), len(rest)
+        columns = {"s": pd.Series([key[0]] * (n + m), dtype=object), "triangle": np.arange(n + m) < n}
+        for at, (c, own) in enumerate((("a", "k"), ("b", "cx"), ("c", "cy"))):
+            columns[c] = np.concatenate([made[:, at], rest[own]]).astype(np.int64)
+        columns |= {c: np.concatenate([np.zeros(n), rest[c]]) for c in ("x", "y", "ax", "ay", "wx", "wy")}
+        return pd.DataFrame(columns | {"level": np.concatenate([np.zeros(n, np.int32), rest["level"]]).astype(np.int32), "open": np.concatenate([np.zeros(n, bool), still[keep & (level > 0)]])})
+
+    return run
 
 
 def delaunay(points: DataFrame, by: str, key: str, x: str = "x", y: str = "y", per_tile: int = PER_TILE) -> DataFrame:
@@ -114,47 +117,25 @@ def delaunay(points: DataFrame, by: str, key: str, x: str = "x", y: str = "y", p
 
     Keys are unique within a set. Points at one place are one, of the smallest key; rows with a null are left out. Sets of
     under three points, or in line, have none; of four or more points on a circle some triangulation may be missing
-    or twice."""
+    or twice. Points on a set's hull meet in one task, all points if they are in line."""
     checkpoint_folder(points.sparkSession)
     rows = points.select(F.col(by).alias("s"), F.col(key).cast("long").alias("k"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
-    rows = rows.groupBy("s", "x", "y").agg(F.min("k").alias("k"))
-    rows = _tiles(rows, per_tile).checkpoint()
-    kind = dict(rows.dtypes)["s"]
-    index = lambda: F.sequence(F.lit(0).cast("long"), F.col("side") - 1)
-    left = rows.select("s", "side").distinct().withColumn("ux", F.explode(index())).withColumn("uy", F.explode(index())).drop("side")
-    most = rows.agg(F.max("side")).first()[0] or 1
-    found, reach = None, 1
-    while True:
-        near = F.sequence(F.lit(-reach), F.lit(reach))
-        posted = rows.withColumn("ux", F.explode(F.transform(near, lambda d: F.col("tx") + d))).withColumn("uy", F.explode(F.transform(near, lambda d: F.col("ty") + d)))
-        seen = same_join(posted, left, ["s", "ux", "uy"], "left_semi")
-        made = seen.groupBy("s", "ux", "uy").applyInPandas(_tile(reach), f"s {kind}, ux long, uy long, a long, b long, c long").checkpoint()
-        done = made.where("a is not null").select("s", "a", "b", "c")
+    rows = _cells(rows.groupBy("s", "x", "y").agg(F.min("k").alias("k")), per_tile).withColumn("open", F.lit(True)).checkpoint()
+    columns = ("s", "k", "x", "y", "ax", "ay", "wx", "wy", "cx", "cy", "level", "open")
+    shown = f"s {dict(rows.dtypes)['s']}, triangle boolean, a long, b long, c long, x double, y double, ax double, ay double, wx double, wy double, level int, open boolean"
+    found = rest = None
+    deepest, n = rows.agg(F.max("level"), F.count(F.lit(1))).first()
+    # a row is much work, so few bytes of them must not end up in one task
+    parts = max(2 * points.sparkSession.sparkContext.defaultParallelism, n // 20_000)
+    for level in range(deepest or 0, -1, -1):
+        here = rows.where(F.col("level") == level).select(*columns)
+        here = here if rest is None else here.unionByName(rest)
+        cell = {f"u{c}": F.shiftright(f"c{c}", DEPTH - level) for c in "xy"}
+        made = here.withColumns(cell).repartition(parts, "s", "ux", "uy").groupBy("s", "ux", "uy").applyInPandas(_cell(level), shown).checkpoint()
+        rest = made.where("not triangle").select("s", F.col("a").alias("k"), "x", "y", "ax", "ay", "wx", "wy", F.col("b").alias("cx"), F.col("c").alias("cy"), "level", "open")
+        done = made.where("triangle").select("s", "a", "b", "c")
         found = done if found is None else found.unionByName(done)
-        if reach >= most:
-            break
-        # tiles that saw no point at all must look further too
-        open_ = made.where("a is null").select("s", "ux", "uy")
-        blank = same_join(left, seen.select("s", "ux", "uy").distinct(), ["s", "ux", "uy"], "left_anti")
-        left = open_.unionByName(blank).checkpoint()
-        if left.isEmpty():
-            break
-        reach *= 2
-    # points with a side that has one triangle, or with no triangle
-    sides = found.select("s", F.explode(F.array(*(F.struct(F.col(p).alias("p"), F.col(q).alias("q")) for p, q in (("a", "b"), ("b", "c"), ("a", "c"))))).alias("e"))
-    single = sides.groupBy("s", "e.p", "e.q").count().where("count = 1").select("s", F.explode(F.array("p", "q")).alias("k"))
-    lone = same_join(rows.select("s", "k"), sides.select("s", F.explode(F.array("e.p", "e.q")).alias("k")), ["s", "k"], "left_anti")
-    rim = same_join(rows, single.unionByName(lone).distinct(), ["s", "k"], "left_semi")
-    thin = rim.groupBy("s").applyInPandas(_rim, f"s {kind}, a long, b long, c long, mx double, my double, square double").checkpoint()
-    # a circle meets the points of the tiles that it may cover
-    spans = same_join(thin, rows.select("s", "ax", "ay", "wx", "wy", "side").distinct(), ["s"])
-    r = F.sqrt("square")
-    tile = lambda v, c: F.least(F.greatest(F.floor((v - F.col(f"a{c}")) / F.col(f"w{c}")), F.lit(0)), F.col("side") - 1).cast("long")
-    spans = spans.withColumn("tx", F.explode(F.sequence(tile(F.col("mx") - r, "x"), tile(F.col("mx") + r, "x")))).withColumn("ty", F.explode(F.sequence(tile(F.col("my") - r, "y"), tile(F.col("my") + r, "y"))))
-    inside = same_join(spans.select("s", "a", "b", "c", "mx", "my", "square", "tx", "ty"), rows.select("s", "tx", "ty", "k", "x", "y"), ["s", "tx", "ty"])
-    within = (F.pow(F.col("x") - F.col("mx"), 2) + F.pow(F.col("y") - F.col("my"), 2) < F.col("square") * (1 - 1e-9)) & ~F.col("k").isin(F.col("a"), F.col("b"), F.col("c"))
-    bad = inside.where(within).select("s", "a", "b", "c").distinct()
-    return found.unionByName(same_join(thin.select("s", "a", "b", "c"), bad, ["s", "a", "b", "c"], "left_anti")).withColumnRenamed("s", by)
+    return found.withColumnRenamed("s", by)
 
 
 def edges(triangles: DataFrame, by: str) -> DataFrame:
