@@ -5,12 +5,13 @@ import random
 import zlib
 from collections import Counter
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weirflow.llm import decontaminate, lm_score, quality_rules, simhash, substring_dedup
+from weirflow.llm import common, decontaminate, lm_score, quality_rules, simhash, substring_dedup
 
 from . import brute
 
@@ -333,6 +334,23 @@ def test_one_of_each_group_stays(spark):
     assert simhash.firsts(table).columns == table.columns and simhash.firsts(table.limit(0)).count() == 0
 
 
+def test_tables_go_and_bands_are_met_in_groups(spark, monkeypatch):
+    """Of a run's tables only those stay that its result reads; however many bands are met at once, groups are the same."""
+    folder = Path(common.shared_dir(spark).removeprefix("file://").removeprefix("file:"))
+    rng, rows = random.Random(31), []
+    for g in range(40):
+        text = prose(rng, 120, 10**9)
+        for n in range(4):
+            rows.append((len(rows), " ".join([*text[: 20 * n], f"e{g}", *text[20 * n + 1 :]])))
+    table, before = spark.createDataFrame(rows, "doc_id long, text string"), set(folder.iterdir())
+    got = simhash.similar_texts(table)
+    left = {p.name.split("-")[1] for p in set(folder.iterdir()) - before if p.name.startswith("weirflow-")}
+    assert left == {"textids", "textcomponents"}
+    assert len({r.component_id for r in got.collect()}) == 40
+    monkeypatch.setattr(simhash, "_AT_ONCE", 24)
+    assert sorted(got.collect()) == sorted(simhash.similar_texts(table).collect())
+
+
 def test_kept_rows(spark, docs):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     want = {r.doc_id for r in quality_rules.judge(docs, labels).where("kept").collect()}

@@ -13,18 +13,20 @@ import math
 import zlib
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import connected_components, materialize, unused
+from .common import connected_components, drop_table, materialize, unused
 from .texts import FOLD, map_texts, raw_texts
 
 #: Shingles and texts whose bits are counted at once.
 _CHUNK, _TEXTS = 1 << 16, 512
+#: Bands whose variants, 33 of each value, are shuffled at once; those of the others are not on disk then.
+_AT_ONCE = 6
 #: The eight bits of each byte, lowest first.
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
 
@@ -248,7 +250,10 @@ class _Verifier:
         for end in ("a", "b"):
             pairs = pairs.join(self.nodes.select(F.col("node").alias(end), F.col("sig").alias(f"sig_{end}"), F.col("first").alias(f"first_{end}")), end)
         pairs = pairs.where(distance(F.col("sig_a"), F.col("sig_b")) <= self.near.most_bits)
-        return self.similar(materialize(pairs.select("a", "b", "first_a", "first_b"), "nearpairs"))
+        pairs = materialize(pairs.select("a", "b", "first_a", "first_b"), "nearpairs")
+        out = self.similar(pairs)
+        drop_table(pairs)
+        return out
 
     def similar(self, pairs: DataFrame) -> DataFrame:
         """Links (a, b) among the rows (a, b, first_a, first_b), which is a table, by their shingles alone."""
@@ -260,7 +265,9 @@ class _Verifier:
             pairs = pairs.join(sets.select(F.col("node").alias(end), F.col("shingles").alias(f"set_{end}")), end)
         both = F.size(F.array_intersect("set_a", "set_b"))
         union = F.size("set_a") + F.size("set_b") - F.col("both")
-        return pairs.select("a", "b", "set_a", "set_b", both.alias("both")).where(F.col("both") >= near.similarity * union - 1e-9).select("a", "b")
+        out = materialize(pairs.select("a", "b", "set_a", "set_b", both.alias("both")).where(F.col("both") >= near.similarity * union - 1e-9).select("a", "b"), "similar")
+        drop_table(sets)
+        return out
 
 
 def apart(own: DataFrame, close: DataFrame) -> DataFrame:
@@ -275,16 +282,21 @@ def apart(own: DataFrame, close: DataFrame) -> DataFrame:
     return mine.select("a", "b", "pop", "root", "root_b").unionByName(theirs.select("a", "b", "pop", "root", "root_b")).where("root != root_b").select("a", "b", "pop")
 
 
-def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Labels (node, root) of all texts after links (a, b) joined some. Only groups that grow are gone through."""
+def merged(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """Labels (node, root) of all texts after the links (a, b) of a table joined some. Only groups that grow are gone
+    through. The table goes."""
+    links = found
     for end in ("a", "b"):
         links = links.join(labels.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end)
     links = links.where("root_a != root_b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
     links = materialize(links.distinct(), "links")
-    if links.isEmpty():
-        return labels
-    roots = connected_components(links).select(F.col("node").alias("root"), F.col("root").alias("to"))
-    return materialize(labels.join(roots, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "labels")
+    drop_table(found)
+    if not links.isEmpty():
+        roots = connected_components(links).select(F.col("node").alias("root"), F.col("root").alias("to"))
+        labels = materialize(labels.join(roots, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "labels")
+        drop_table(roots)
+    drop_table(links)
+    return labels
 
 
 def similar_texts(docs: DataFrame, near: Near = Near()) -> DataFrame:
@@ -300,8 +312,9 @@ def similar_texts(docs: DataFrame, near: Near = Near()) -> DataFrame:
     Texts without a word are alike. Rows of a null doc_id have a null component, others of the same
     text don't see them. Repeated rows each get their row; an empty table gives an empty result."""
     sigs = materialize(map_texts(docs, ("doc_id", "text"), _bands_kernel(near), "doc_id long, node long, sig array<long>"), "bands")
-    known = sigs.where("doc_id is not null")
-    nodes = materialize(known.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("sig").alias("sig")), "nodes")
+    nodes = materialize(sigs.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.first("sig").alias("sig")), "nodes")
+    ids = materialize(sigs.select("doc_id", "node"), "textids")
+    drop_table(sigs)
     verify = _Verifier(docs, nodes, near)
 
     spread = nodes.select("node", F.posexplode("sig").alias("band", "value")).withColumn("band", F.col("band").cast("long"))
@@ -311,31 +324,38 @@ def similar_texts(docs: DataFrame, near: Near = Near()) -> DataFrame:
     popular = members.groupBy("node").agg(F.sum(F.col("n") - 1).alias("pop"))
     tops = members.join(popular, "node").groupBy("band", "value").agg(F.max(F.struct("pop", "node")).alias("top"))
     tops = materialize(tops.select("band", "value", "top.node", "top.pop"), "hubs")
-    close = materialize(parents(values), "parents")
+    groups = [values.where(F.col("band").between(b, b + _AT_ONCE - 1)) for b in range(0, near.bands, _AT_ONCE)]
+    close = reduce(DataFrame.unionByName, [materialize(parents(g), "parents") for g in groups])
     either = close.select("band", "value").unionByName(close.select("band", F.col("parent").alias("value"))).distinct()
     alone = single.join(either, ["band", "value"], "left_semi").select("band", "value", "node", F.lit(0).cast("long").alias("pop"), F.lit(True).alias("fore"))
     fore = (F.col("node") == F.col("hub")).alias("fore")
     shared = members.join(tops.withColumnRenamed("node", "hub"), ["band", "value"]).select("band", "value", "node", "pop", fore)
     own = materialize(shared.unionByName(alone), "own")
+    for done in (values, members, tops):
+        drop_table(done)
     # the most popular partner of each text first: in a large group this leaves few pairs that are apart
     best = apart(own.withColumn("root", F.col("node")), close).groupBy("a").agg(F.max(F.struct("pop", "b"))["b"].alias("b"))
     best = materialize(best, "pairs")
-    labels = merged(nodes.select("node", F.col("node").alias("root")), verify(best))
-    rest = materialize(apart(own.join(labels, "node"), close).select("a", "b").distinct(), "pairs")
-    labels = merged(labels, verify(rest))
+    labels = [merged(nodes.select("node", F.col("node").alias("root")), verify(best))]
+    rest = materialize(apart(own.join(labels[0], "node"), close).select("a", "b").distinct(), "pairs")
+    labels.append(merged(labels[-1], verify(rest)))
     tried = best.unionByName(rest)
     tried = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
     # what met in a band but lies in several groups yet: a meeting is a value with those it is the parent of
-    hubs, met = near.hubs, None
+    hubs, met, agains, before = near.hubs, None, [], None
     while True:
         rep = F.min(F.struct(F.xxhash64("node", "band"), "node", "sig", "first")).alias("rep")
         one = ("band", "value", "root", "rep.node", "rep.sig", "rep.first")
-        seen = own.join(labels.join(nodes, "node"), "node").groupBy("band", "value", "root").agg(rep).select(*one)
+        seen = own.join(labels[-1].join(nodes, "node"), "node").groupBy("band", "value", "root").agg(rep).select(*one)
         reps = close.join(seen, ["band", "value"]).select("band", F.col("parent").alias("value"), "root", "node", "sig", "first").unionByName(seen)
         reps = reps if met is None else reps.join(met, ["band", "value"], "left_semi")
-        reps = materialize(reps.groupBy("band", "value", "root").agg(rep).select(*one), "reps")
-        reps = materialize(reps.join(reps.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1"), ["band", "value"]), "openreps")
+        every = materialize(reps.groupBy("band", "value", "root").agg(rep).select(*one), "reps")
+        reps = materialize(every.join(every.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1"), ["band", "value"]), "openreps")
+        for done in (every, before):
+            if done is not None:
+                drop_table(done)
+        before = reps
         draw = F.pmod(F.xxhash64("node", "value", F.lit(hubs)), F.lit(1 << 20)) * F.col("n")
         few = reps.where((F.col("n") <= hubs) | (draw < hubs << 20)).select("band", "value", F.col("node").alias("b"), F.col("sig").alias("sig_b"), F.col("first").alias("first_b"))
         x = reps.select("band", "value", F.col("node").alias("a"), F.col("sig").alias("sig_a"), F.col("first").alias("first_a")).alias("x")
@@ -345,17 +365,21 @@ def similar_texts(docs: DataFrame, near: Near = Near()) -> DataFrame:
         ends, turned = ("a", "b", "first_a", "first_b"), (F.col("b").alias("a"), F.col("a").alias("b"), F.col("first_b").alias("first_a"), F.col("first_a").alias("first_b"))
         again = again.select(turn(ends, turned).alias("x")).select("x.*").distinct()
         again = materialize(again.join(tried, ["a", "b"], "left_anti"), "again")
+        agains.append(again)
         if not again.isEmpty():
-            labels = merged(labels, verify.similar(again))
+            labels.append(merged(labels[-1], verify.similar(again)))
         met = reps.where(F.col("n") > hubs).select("band", "value").distinct()
         if met.isEmpty():
             break
         tried, hubs = tried.unionByName(again.select("a", "b")), 4 * hubs
-    rooted = nodes.join(labels, "node").select("node", "first", "root")
+    rooted = nodes.join(labels[-1], "node").select("node", "first", "root")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    owner = rooted.join(least, "root").select("node", "component_id")
-    out = known.select("doc_id", "node").join(owner, "node")
-    return out.select("doc_id", "node", "component_id").unionByName(sigs.where("doc_id is null").select("doc_id", "node", F.lit(None).cast("long").alias("component_id")))
+    owner = materialize(rooted.join(least, "root").select("node", "component_id"), "textcomponents")
+    # the first labels may be the nodes' own, which go here as well
+    for done in (nodes, own, close, best, rest, before, *agains, *labels):
+        drop_table(done)
+    out = ids.where("doc_id is not null").join(owner, "node")
+    return out.select("doc_id", "node", "component_id").unionByName(ids.where("doc_id is null").select("doc_id", "node", F.lit(None).cast("long").alias("component_id")))
 
 
 def firsts(docs: DataFrame, near: Near = Near()) -> DataFrame:
