@@ -112,3 +112,21 @@ def test_numbers_and_permutations(spark):
     for n in (1, 2, 12, 97):
         a, b = imp.permutation(n, 3, 5)
         assert sorted((a * r + b) % n for r in range(n)) == list(range(n))
+
+
+def test_shuffled_moments_by_blocks(spark, monkeypatch):
+    """Rows of many small blocks get what a plain permutation gives them, in one pass for all features; a fold may be null."""
+    monkeypatch.setattr(imp, "_BLOCK", 64)
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(1000, 3)), rng.normal(size=1000)
+    folds = [None if i % 4 == 3 else i % 4 for i in range(1000)]
+    df = spark.createDataFrame([(i, f, *map(float, v), float(t)) for i, (f, v, t) in enumerate(zip(folds, x, y, strict=True))], "key long, fold int, a double, b double, c double, y double")
+    rows, moves = imp.numbered(df.repartition(5), "key"), [(r, *imp.permutation(1000, 0, r)) for r in range(3, 6)]
+    got = imp.shuffled_moments(rows, 1000, ["a", "b", "c"], "y", "fold", moves, 2)
+    assert set(got) == {(r, f) for r, _, _ in moves for f in (0, 1, 2, None)}
+    for r, a, b in moves:
+        put = np.empty_like(x)
+        put[(np.arange(1000) * a + b) % 1000] = x
+        for f in (0, 1, 2, None):
+            at = np.array([g == f for g in folds])
+            assert got[r, f] == pytest.approx(put[at][:, :2].T @ np.column_stack([x, put[:, :2], y])[at])
