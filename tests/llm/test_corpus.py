@@ -373,3 +373,15 @@ def test_pipeline_follows_its_stages(spark):
     got = c.run(spark, SF).collect()
     assert sorted(r.doc_id for r in got) == sorted(i for i, _ in want)
     assert max(r.start + r.n_tokens for r in got) == sum(r.n_tokens for r in got)
+
+
+def test_tables_of_passages_go(spark):
+    """Tables of pairs and rows of seeds are gone when passages are given."""
+    folder = Path(common.shared_dir(spark).removeprefix("file://").removeprefix("file:"))
+    rng, before = random.Random(12), set(folder.iterdir())
+    passage = prose(rng, 60, 10**9)
+    rows = [(i, " ".join([*prose(rng, 30, 10**9), *passage, *prose(rng, 30, 10**9)])) for i in range(20)]
+    got = substring_dedup.shared_passages(spark.createDataFrame(rows, "doc_id long, text string"))
+    left = {p.name.split("-")[1] for p in set(folder.iterdir()) - before if p.name.startswith("weirflow-")}
+    assert not left & {"rowsofseeds", "pairsofrows", "seedpairs", "runs", "runowners", "shared", "spans", "morematches", "chains"}
+    assert {r.doc_id for r in got.where("source_doc_id = 0").collect()} == set(range(1, 20))
