@@ -44,3 +44,15 @@ def test_query(spark, duck, name):
 
 def test_sql_belongs_to_queries():
     assert set(ORACLE_SQL) <= set(QUERIES)
+
+
+def test_normalised_values_are_rounded_as_in_sql(spark, duck, tmp_path):
+    """Beside a 5 as seventh decimal, over a tiny divisor, over zero and of nulls: equal to SQL's to the last bit."""
+    groups = [(1, [2.1e-06, 258.3714451]), (2, [0.0, 0.0, 2.5]), (3, [None, 4.0]), (4, [-3.0, 1e300, None])]
+    rows = [(10 * u + i, u, v) for u, values in groups for i, v in enumerate(values)]
+    spark.createDataFrame(rows, "event_id long, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    duck = duck.cursor()
+    duck.execute(f"CREATE TEMP VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    for name in ("absunitscale_minor_by_user", "absunitscale_by_user", "unitscale_by_user"):
+        want = {r[0]: repr(r[1]) for r in duck.execute(ORACLE_SQL[name]).fetchall()}
+        assert {r.event_id: repr(r.y) for r in QUERIES[name](spark, str(tmp_path)).collect()} == want

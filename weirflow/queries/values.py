@@ -5,14 +5,14 @@ from pyspark.sql import functions as F
 from ..functions import scalar, text
 from ..operators import normalize as n, summary
 from ..sources.tables import load
-from .registry import query, r6
+from .registry import query, r6, r6_scaled
 
 _BY = "PARTITION BY user_id"
 
 
 def _normalized(name: str, column, sql: str) -> None:
     def run(spark, sf_dir):
-        return load(spark, sf_dir, "events").select("event_id", r6(column()).alias("y"))
+        return load(spark, sf_dir, "events").select("event_id", column().alias("y")).select("event_id", r6_scaled("y").alias("y"))
 
     run.__name__ = name
     query(f"SELECT event_id, round({sql}, 6) + 0.0 AS y FROM events")(run)
