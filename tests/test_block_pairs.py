@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weirflow.operators import vectors as v
+from weirflow.queries import QUERIES
 
 
 @pytest.mark.parametrize("measure", ["cosine", "correlation", "rms"])
@@ -29,3 +30,13 @@ def test_vectors_do_not_grow_by_element(spark):
     rows = spark.range(200).select("id", F.array_repeat(F.col("id").cast("double"), 8).alias("e"))
     plan = v.time_distances(rows, "id", "e", rows.where("id < 4"))._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "Aggregate" not in plan
+
+
+@pytest.mark.parametrize("name", ["all_pairs_cosine", "all_pairs_corr", "time_distances"])
+def test_queries_compare_every_vector_with_all(spark, name, tmp_path):
+    """Also more than one block of them, whatever their ids."""
+    n = 530
+    rows = spark.range(n).select((F.col("id") * 50 + 7).alias("vec_id"), F.array(*(F.sin(F.col("id") * k).cast("float") for k in (1, 2, 3, 5))).alias("embedding"))
+    rows.write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = QUERIES[name](spark, str(tmp_path)).groupBy("query").count().collect()
+    assert len(found) == n and {r["count"] for r in found} == {n if name == "time_distances" else n - 1}
