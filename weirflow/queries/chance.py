@@ -94,8 +94,8 @@ def _beta(x: str) -> str:
 
 @query(
     f"WITH t AS (SELECT event_type AS g, event_id AS k, value AS x, user_id % 3 = 0 AS a FROM events), s AS (SELECT g, avg(x) FILTER (a) - avg(x) FILTER (NOT a) AS seen, avg(CASE WHEN a THEN 1.0 ELSE 0.0 END) AS share FROM t GROUP BY g),"
-    f" v AS (SELECT g, r, seen - (avg(x) FILTER ({_u('k')} < share) - avg(x) FILTER ({_u('k')} >= share)) AS v FROM t JOIN s USING (g), range(128) z(r) GROUP BY g, r, seen),"
-    " b AS (SELECT g, n, count(*) FILTER (v < 0) AS k FROM v, (SELECT unnest([16, 32, 64, 128]) AS n) WHERE r < n GROUP BY g, n),"
+    f" v AS (SELECT g, r, seen - (avg(x) FILTER ({_u('k')} < share) - avg(x) FILTER ({_u('k')} >= share)) AS v FROM t JOIN s USING (g), range(2048) z(r) GROUP BY g, r, seen),"
+    " b AS (SELECT g, n, count(*) FILTER (v < 0) AS k FROM v, (SELECT unnest([16, 32, 64, 128, 256, 512, 1024, 2048]) AS n) WHERE r < n GROUP BY g, n),"
     f" f AS (SELECT *, {_beta('0.025')} AS low, {_beta('0.975')} AS high FROM b),"
     " j AS (SELECT *, (low > 0.995 OR low <= 0.005) AND (high > 0.995 OR high <= 0.005) AS decided FROM f)"
     " SELECT g AS event_type, CAST(n AS BIGINT) AS n, least(k, n - k) AS k, decided FROM j QUALIFY row_number() OVER (PARTITION BY g ORDER BY decided DESC, CASE WHEN decided THEN n ELSE -n END) = 1"
@@ -104,4 +104,4 @@ def adaptive_shuffle(spark, sf_dir):
     """Is the mean of a third of the users another than that of the rest? By event type, with as many shuffles as it takes."""
     events = load(spark, sf_dir, "events")
     sampler = adaptive.shuffled_mean_difference("value", F.col("user_id") % 3 == 0, "event_id", ["event_type"])
-    return adaptive.adaptive_test(events, sampler, ["event_type"], most=128).select("event_type", "n", "k", "decided")
+    return adaptive.adaptive_test(events, sampler, ["event_type"]).select("event_type", "n", "k", "decided")
