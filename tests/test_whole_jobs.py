@@ -21,3 +21,15 @@ def test_adaptive_shuffle_goes_on_beyond_128(spark, tmp_path):
     duck = duckdb.connect()
     duck.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
     assert duck.execute(ORACLE_SQL["adaptive_shuffle"]).fetchall() == [tuple(got)]
+
+
+def test_shuffled_importance_goes_on_until_decided(spark, tmp_path):
+    """A set that no shuffle comes near is decided by 128 of them, and not before."""
+    rng = np.random.default_rng(6)
+    n = 400
+    quantity = rng.uniform(1, 50, n)
+    items = {"l_orderkey": np.arange(n) // 4, "l_linenumber": np.arange(n) % 4, "l_quantity": quantity, "l_discount": rng.uniform(0, 0.1, n), "l_tax": rng.uniform(0, 0.08, n), "l_extendedprice": 1000 * quantity + rng.normal(size=n)}
+    pd.DataFrame(items).to_parquet(tmp_path / "lineitem.parquet")
+    got = {r.features: r for r in QUERIES["shuffled_importance"](spark, str(tmp_path)).collect()}
+    assert got["size"].decided and (got["size"].n, got["size"].k) == (128, 0)
+    assert got["rates"].decided or got["rates"].n == 2048
