@@ -33,3 +33,14 @@ def test_shuffled_importance_goes_on_until_decided(spark, tmp_path):
     got = {r.features: r for r in QUERIES["shuffled_importance"](spark, str(tmp_path)).collect()}
     assert got["size"].decided and (got["size"].n, got["size"].k) == (128, 0)
     assert got["rates"].decided or got["rates"].n == 2048
+
+
+def test_line_noise_goes_with_five_overtones(spark, tmp_path):
+    n = 1500
+    t = np.arange(n) / 1000
+    slow = np.sin(2 * np.pi * 7 * t)
+    x = slow + sum(np.sin(2 * np.pi * 60 * k * t + k) for k in range(1, 6))
+    at = pd.Timestamp("2024-01-01") + pd.to_timedelta(np.arange(n), unit="s")
+    pd.DataFrame({"event_id": np.arange(n), "ts": at.astype("datetime64[us]"), "user_id": 1, "event_type": "view", "value": x}).to_parquet(tmp_path / "events.parquet")
+    got = np.array([r.stopped for r in QUERIES["line_noise_removed"](spark, str(tmp_path)).orderBy("i").collect()])
+    assert np.abs(got - slow)[300:-300].max() < 0.1
